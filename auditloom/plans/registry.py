@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.plans import problems
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["stats_by_node"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
