@@ -76,37 +76,33 @@ def _tokens_udf(fields: Callable[[str | None], list[tuple[str, str]] | None]) ->
     return tokens
 
 
-def encode_values(values: DataFrame, value_col: str, fields: Callable = page_fields) -> DataFrame:
-    """``values`` (one row for each distinct value) with ``record``, the sorted integer tuple.
+def encode_values(values: DataFrame, key_col: str, tokens_col: str) -> DataFrame:
+    """``key_col, record``: the sorted integer tuple of each array of tokens.
 
-    Rows whose value has no fields (null, blank, not an address) are left out.
+    The keys are integers too, so that no text but that of the dictionary is
+    shuffled.
     """
-    split = values.withColumn("_tokens", _tokens_udf(fields)(F.col(value_col))).where("_tokens is not null")
-    split = checkpointed(split)  # Python runs once; the tuples and the dictionary read it
-    token = split.select(value_col, F.explode("_tokens").alias("_token"))
+    token = values.select(key_col, F.explode(tokens_col).alias("_token"))
     ids = checkpointed(token.select("_token").distinct().withColumn("_id", F.monotonically_increasing_id()))
-    return (
-        token.join(ids, "_token")
-        .groupBy(value_col)
-        .agg(F.array_sort(F.collect_list("_id")).alias("record"))
-    )
+    return token.join(ids, "_token").groupBy(key_col).agg(F.array_sort(F.collect_list("_id")).alias("record"))
 
 
 def collapse_copies(df: DataFrame, id_col: str, value_col: str, scope_cols: list[str] = [], fields: Callable = page_fields) -> DataFrame:
-    """``scope_cols, keep_id, n_copies, record, value`` of every distinct value of ``df``.
+    """``scope_cols, keep_id, n_copies, value`` of every distinct value of ``df``.
 
     ``keep_id`` is the smallest id of all rows that have the record in their
     scope, ``n_copies`` the number of those rows.  Null, blank and unreadable
     values form no group and do not come out; exact repeats count as copies; an
     empty table gives an empty result.
     """
-    src = df.select(*scope_cols, F.col(id_col).alias("_row"), F.col(value_col).alias("_value")).where("_value is not null")
-    distinct = src.groupBy(*scope_cols, "_value").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    distinct = checkpointed(distinct)
-    records = encode_values(distinct.select("_value").distinct(), "_value", fields)
-    coded = distinct.join(records, "_value")
+    src = df.select(*scope_cols, F.col(id_col).alias("_row"), F.col(value_col).alias("value")).where("value is not null")
+    distinct = src.groupBy(*scope_cols, "value").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    distinct = distinct.withColumn("_tokens", _tokens_udf(fields)(F.col("value"))).where("_tokens is not null")
+    distinct = checkpointed(distinct.withColumn("_key", F.monotonically_increasing_id()))  # Python runs once; keys stay
+    coded = distinct.select(*scope_cols, "_key", "_first", "_n").join(encode_values(distinct, "_key", "_tokens"), "_key")
     groups = coded.groupBy(*scope_cols, "record").agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("n_copies"))
-    return coded.join(groups, [*scope_cols, "record"]).select(*scope_cols, "keep_id", "n_copies", "record", F.col("_value").alias("value"))
+    found = coded.join(groups, [*scope_cols, "record"]).select("_key", "keep_id", "n_copies")
+    return distinct.join(found, "_key").select(*scope_cols, "keep_id", "n_copies", "value")
 
 
 def copy_rows(df: DataFrame, id_col: str, value_col: str, scope_cols: list[str] = [], fields: Callable = page_fields) -> DataFrame:
