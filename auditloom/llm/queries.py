@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import copies, packing, tokens
+from auditloom.llm import canonical, copies, packing, tokens
 from auditloom.session import table
 
 
+def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The reference list (fixed) with the words of each entry; 其他 is an entry only by its own name."""
+    names = [r["type_name"] for r in table(spark, sf_dir, "source_type_list").orderBy("type_id").select("type_name").collect()]
+    return {n: canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in names}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "store").where("type in ('source', 'knowledge')").select("store_id", "source_type_raw", "source_type")
+    fallback = F.col("source_type") == "其他"
+    return canonical.map_rows(rows, "store_id", "source_type_raw", _source_types(spark, sf_dir), "source_type", fallback).withColumnRenamed("entry", "type_name")
+
+
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct free entry with its entry of the list, or '' if it is unmatched, and its score."""
+    rows = table(spark, sf_dir, "store").where("type in ('source', 'knowledge')").select("source_type_raw")
+    return canonical.map_values(rows, "source_type_raw", _source_types(spark, sf_dir)).withColumnRenamed("entry", "type_name")
+
+
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "store").select(F.lit("store").alias("table_name"), F.col("store_id").alias("row_id"), "url")
     catalog = table(spark, sf_dir, "source_catalog").select(F.lit("source_catalog").alias("table_name"), F.col("entry_id").alias("row_id"), F.col("访问地址").alias("url"))
@@ -49,6 +67,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": p4_found,
+        "p4_values": p4_values,
         "p6_found": p6_found,
         "p6_pages": p6_pages,
         "p7_ids": p7_ids,
