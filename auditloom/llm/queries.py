@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical, copies, packing, tokens
+from auditloom.llm import canonical, copies, packing, residue, tokens
 from auditloom.session import table
 
 
@@ -65,6 +65,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.cases(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the classifier with the weak labels on unseen hosts."""
+    return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p4_found": p4_found,
@@ -74,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
         "p8_fill": p8_fill,
+        "p9_found": p9_found,
+        "p9_validation": p9_validation,
     }
 
 
