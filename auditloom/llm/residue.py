@@ -49,11 +49,11 @@ PLACEHOLDER = re.compile(
     r"|【(?:请填写|待填|请输入|此处填写|填写)[^】\n]{0,30}】|【[^】\n]{1,12}待填】|（[^（）\n]{1,16}待(?:填|补)）|\([^()\n]{1,16}待填\)|\[YOUR [^\]\n]{1,40} HERE\]|\[(?:INSERT|ENTER|ADD) [^\]\n]{1,40}\]"
     r"|\[(?:此处|在此)[^\]\n]{1,30}\]|\[(?:节点名|图表|领域|简介|联系方式|发布日期|访问地址|公司名称|标题|姓名|日期)\]|<(?:在此|此处|请)[^<>\n]{1,30}>|«[^«»\n]{1,16}»|_{3,}（[^（）\n]{1,16}）"
     r"|(?:X{3,}|×{2,})[一-鿿]{1,6}?(?=[一-鿿。，,.\s])|\[object Object\]|\(null\)|\(undefined\)"
-    r"|(?<![\w\"'`=])(?:undefined|NaN)(?![\w\"'`=])|(?<=[：:])\s*(?:null|None|NULL|N/A)(?![\w])|YYYY-MM-DD|yyyy-mm-dd"
+    r"|(?<![A-Za-z0-9_\"'`=.])(?:undefined|NaN)(?![A-Za-z0-9_\"'`=])|(?<=[：:])\s*(?:null|None|NULL)(?![A-Za-z0-9_])|(?<![A-Za-z0-9_\"'`=.])(?:null|None|NULL)(?=[一-鿿])|(?<=See )(?:null|None) (?=for)|(?<=[与由])(?:null|None)|YYYY-MM-DD|yyyy-mm-dd"
 )
 #: Phrases that stand on error pages, in filler and in script notices (fixed values).
 RESIDUE = re.compile(
-    r"\blorem\b|\bipsum\b|bad gateway|gateway time-?out|not found|internal (?:server )?error|service unavailable|too many requests|forbidden|unauthori[sz]ed|session expired|sign in again|try again|could not process|no longer (?:served|available)|upstream server|\boops\b|start page|wait \d+ seconds|禁止访问|(?:enable|switch|turn) it on|enable it\b|http \d{3}：|联系管理员|服务没有"
+    r"\blorem\b|\bipsum\b|bad gateway|gateway time-?out|not found|internal (?:server )?error|service unavailable|too many requests|forbidden|unauthori[sz]ed|session expired|sign in again|try again|could not process|no longer (?:served|available)|upstream server|\boops\b|start page|wait \d+ seconds|禁止访问|(?:enable|switch|turn|allow) (?:it|them)\b|scripts? (?:is|are) (?:blocked|off)|something went wrong|enable it\b|http \d{3}：|联系管理员|服务没有"
     r"|traceback \(most|nullreference|keyerror|exception in|fatal error|http \d{3}|error \d{3}|\b[45]\d\d (?:页面|服务|网关)"
     r"|页面不存在|页面已下线|网关(?:错误|超时)|服务器(?:内部)?错误|内部错误|无法连接到服务器|数据库连接失败|系统繁忙|站点维护|没有(?:查看)?权限|无权(?:查看|访问)|已(?:被)?删除|已下架|找不到您|请检查网址|稍后(?:再试|重试|再来)|没有及时应答"
     r"|(?:enable|requires?|allow|turn on|switch on|support)\b[^.]{0,30}(?:javascript|scripting|scripts|cookies?)|(?:javascript|cookies?|scripting) (?:is|are) (?:off|disabled|required)|启用 ?javascript|未启用|关闭了 ?(?:cookie|javascript)|禁用了?脚本|支持脚本|允许本站脚本|脚本被拦截|关闭脚本|浏览器版本过低|检查您的浏览器|更换浏览器"
@@ -63,7 +63,10 @@ RESIDUE = re.compile(
 #: Words of texts that discuss, quote or document such things (fixed values).
 DISCUSSES = re.compile(r"因此|统计中|拒收|从清单|手册|文档给出|不受影响|常见的|写法|语法|占位符|模板变量|说明了|栏目|格式为|字段|均已填写|返回错误码|入口正常|explains?\b|the guide|documents? how|filled at|for example|报错", re.I)
 #: Menu and footer lines (fixed values).
-MENU = re.compile(r"^(?:©|copyright|返回(?:首页|顶部)|点击此处|登录 ?/|首页\b|home\b ?[>|]|时间 .{0,30}节点|语言：|loading…?$|[0-9a-f]{8,}$|\d+$)|(?:[|·>].*){3,}|版权所有", re.I)
+MENU = re.compile(r"^(?:©|copyright|返回(?:首页|顶部)|点击此处|登录 ?/|首页\b|home\b ?[>|]|时间 .{0,30}节点|语言：|loading…?$|[0-9a-f]{8,}$|\d+$)|(?:(?: \| | · | > ).*){3,}|版权所有", re.I)
+
+#: The same inside a line, as on pages whose line breaks were lost (fixed values).
+INLINE_MENU = re.compile(r"(?:\S{1,8} \| ){2,}\S{1,8}|登录 ?/ ?注册|语言：\S+|\bHome(?: > \w+)+|(?:\d+ 秒后)?返回(?:首页|顶部)|© ?\d{4} .{1,40}?版权所有|(?:\S+ · ){2,}\S+")
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _CUT = re.compile(r"(?<=[。！？!?])(?![”’」』\"'])|\n+|(?<=[.;:]) +(?=[A-Z(])|(?<=[。]) +")
@@ -73,7 +76,7 @@ _DIGITS = re.compile(r"\d+")
 def segments(text: str) -> list[str]:
     """The lines and sentences of a text, code taken out and placeholders marked."""
     text = _FENCE.sub(" ", text)
-    text = PLACEHOLDER.sub(MARK, text)
+    text = INLINE_MENU.sub("\n", PLACEHOLDER.sub(MARK, text))
     return [s for x in _CUT.split(text) if (s := x.strip())]
 
 
