@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical, copies, packing, residue, tokens
+from auditloom.llm import canonical, copies, garbled, packing, residue, tokens
 from auditloom.session import table
 
 
@@ -29,6 +29,15 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_values(rows, "source_type_raw", _source_types(spark, sf_dir)).withColumnRenamed("entry", "type_name")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, sf_dir, "evidence_log"), "evidence_id", "tool_response").select("evidence_id", "field_path")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every affected string with its original text, null where that is lost."""
+    return garbled.find_garbled(table(spark, sf_dir, "evidence_log"), "evidence_id", "tool_response")
+
+
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "store").select(F.lit("store").alias("table_name"), F.col("store_id").alias("row_id"), "url")
     catalog = table(spark, sf_dir, "source_catalog").select(F.lit("source_catalog").alias("table_name"), F.col("entry_id").alias("row_id"), F.col("访问地址").alias("url"))
@@ -78,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p4_found": p4_found,
         "p4_values": p4_values,
+        "p5_found": p5_found,
+        "p5_restored": p5_restored,
         "p6_found": p6_found,
         "p6_pages": p6_pages,
         "p7_ids": p7_ids,
