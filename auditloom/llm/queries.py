@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical, copies, garbled, packing, residue, tokens
+from auditloom.llm import canonical, copies, garbled, names, packing, residue, tokens
 from auditloom.session import table
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "store").select("name").unionByName(table(spark, sf_dir, "source_catalog").select(F.col("数据源名称").alias("name")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_names(spark, sf_dir), "name")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with its class and its number of links."""
+    return names.variant_classes(_names(spark, sf_dir), "name")
+
+
 def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """The reference list (fixed) with the words of each entry; 其他 is an entry only by its own name."""
     names = [r["type_name"] for r in table(spark, sf_dir, "source_type_list").orderBy("type_id").select("type_name").collect()]
@@ -85,6 +98,8 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_classes": p2_classes,
         "p4_found": p4_found,
         "p4_values": p4_values,
         "p5_found": p5_found,
