@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import problems
+from auditloom.plans import core, problems
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["stats_by_node"](spark, sf_dir)
+    return core.stats_by_node(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.queries()
+    return core.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)
