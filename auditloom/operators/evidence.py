@@ -6,7 +6,7 @@ is a tokenised equi-join: O(tokens) instead of candidates times texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import urls
@@ -41,23 +41,25 @@ def result_urls(evidence: DataFrame) -> DataFrame:
     return result_items(evidence).where("url is not null and url <> ''").select("evidence_id", "run_id", "query", "pos", "sub", "url")
 
 
-def token_forms(text: Column) -> Column:
-    """Address tokens of a text: without bold marks, and cut before each ``#`` as well."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit("*")))
+def held_tokens(evidence: DataFrame) -> DataFrame:
+    """``run_id, evidence_id, query, token``: address tokens of everything under a response's results.
 
-    def forms(t: Column) -> Column:
-        parts = F.split(t, "#")
-        return F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "#")))
-
-    return F.array_distinct(F.flatten(F.transform(found, forms)))
-
-
-def tokens(evidence: DataFrame) -> DataFrame:
-    """``run_id, token`` of everything under a response's results, never of the query or its echo."""
+    Never of the query or its echo; without bold marks, and cut before each ``#`` as well.
+    """
     text = F.to_json(F.try_variant_get("response", "$.results", "variant"))
     # escapes of JSON would join a letter to the address that follows
     plain = F.regexp_replace(text, r"\\(u[0-9a-fA-F]{4}|.)", " ")
-    return evidence.select("run_id", F.explode(token_forms(plain)).alias("token")).where("token <> ''").distinct()
+    found = evidence.select("run_id", "evidence_id", "query", F.explode(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))).alias("_t"))
+    found = found.select("run_id", "evidence_id", "query", F.btrim("_t", F.lit("*")).alias("token")).where("token <> ''")
+    parts = F.split("token", "#")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "#"))
+    cut = found.where(F.contains("token", F.lit("#"))).withColumn("token", F.explode(heads)).where("token <> ''")
+    return found.unionByName(cut)
+
+
+def tokens(evidence: DataFrame) -> DataFrame:
+    """The distinct ``run_id, token`` of the evidence."""
+    return held_tokens(evidence).select("run_id", "token").distinct()
 
 
 def grounded(candidates: DataFrame, evidence: DataFrame, id_col: str) -> DataFrame:
@@ -69,8 +71,7 @@ def grounded(candidates: DataFrame, evidence: DataFrame, id_col: str) -> DataFra
 
 def first_queries(candidates: DataFrame, evidence: DataFrame, id_col: str) -> DataFrame:
     """``id_col, first_query``: the query of the earliest evidence line that holds the address."""
-    plain = F.regexp_replace(F.to_json(F.try_variant_get("response", "$.results", "variant")), r"\\(u[0-9a-fA-F]{4}|.)", " ")
-    held = evidence.where("query is not null").select("run_id", "evidence_id", "query", F.explode(token_forms(plain)).alias("token"))
+    held = held_tokens(evidence.where("query is not null"))
     # one row for each token of a run before the join: partial aggregation, no row is gathered
     earliest = held.groupBy("run_id", "token").agg(F.min(F.struct("evidence_id", "query")).alias("first"))
     forms = candidates.where("url is not null").select(id_col, "run_id", F.explode(urls.variants(urls.strip_anchors(F.col("url")))).alias("token"))
