@@ -186,6 +186,8 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     # both labels keep their share of the bound: the order is by hash, not by label
     bounded = counted.orderBy(F.desc(F.col("pos") > 0), F.xxhash64("form")).limit(SAMPLE_SEGMENTS)
     row = bounded.coalesce(1).mapInPandas(one, "w binary").first()
+    if row is None:  # no documents, nothing to learn
+        return np.r_[np.zeros(SPACE), -1.0]
     return np.frombuffer(row["w"], dtype=np.float32).astype(np.float64)
 
 
