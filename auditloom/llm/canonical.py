@@ -152,12 +152,14 @@ def map_values(values: DataFrame, value_col: str, entries: dict[str, list[str]],
     near = near.withColumn("sim", alike("token", "target", "kind")).where("sim > 0")
 
     found = tokens.join(near, ["token", "kind"]).join(F.broadcast(phrases), "target")
+    # a stretch of the value counts by its share of the value, the value as a whole fully
+    cover = F.when(F.col("kind") == "whole", F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("length") / F.col("whole")))
     # soft TF-IDF: each token of a phrase counts once, with its best repair
-    best = found.groupBy(value_col, "entry", "phrase", "target").agg(F.max("sim").alias("sim"), F.first("weight").alias("weight"), F.first("length").alias("length"), F.max("pos").alias("pos"), F.first("whole").alias("whole"), F.min("ordinal").alias("ordinal"))
+    best = found.groupBy(value_col, "entry", "phrase", "target").agg(F.max("sim").alias("sim"), F.max(cover).alias("cover"), F.first("weight").alias("weight"), F.max("pos").alias("pos"), F.min("ordinal").alias("ordinal"))
     scored = best.groupBy(value_col, "entry", "phrase").agg(
-        F.sum(F.col("sim") * F.col("weight")).alias("support"), F.max("pos").alias("pos"), F.first("length").alias("length"), F.first("whole").alias("whole"), F.min("ordinal").alias("ordinal")
+        F.sum(F.col("sim") * F.col("weight")).alias("support"), F.max("pos").alias("pos"), F.avg("cover").alias("cover"), F.min("ordinal").alias("ordinal")
     )
-    scored = scored.where(F.col("support") >= ENOUGH).withColumn("score", F.round(F.col("support") * F.least(F.lit(1.0), F.col("length") / F.col("whole")), 6))
+    scored = scored.where(F.col("support") >= ENOUGH).withColumn("score", F.round(F.col("support") * F.col("cover"), 6))
     if hints is not None:
         scored = scored.join(hints.select(value_col, "entry", F.col("n").alias("hint")), [value_col, "entry"], "left")
     else:

@@ -247,9 +247,9 @@ def validate(docs: DataFrame, id_col: str, text_col: str, host_col: str, held_ou
         for t in texts:
             parts = weak_labels(t or "")
             total = sum(n for *_, n in parts)
-            out.append(total > 0 and sum(n for f, _, r, n in parts if r) >= MOSTLY * total)
+            out.append(total > 0 and (any(r and MARK in f for f, _, r, _ in parts) or sum(n for _, _, r, n in parts if r) >= MOSTLY * total))
         return pd.Series(out)
 
     test = docs.where(unseen & F.col(text_col).isNotNull())
-    found = find_residue(test, id_col, text_col, w).select(id_col, (F.col("is_page")).alias("found"))
+    found = find_residue(test, id_col, text_col, w).select(id_col, (F.col("is_page") | F.col("has_placeholder")).alias("found"))
     return test.select(id_col, weak(text_col).alias("weak_label")).join(found, id_col).groupBy("weak_label").agg(F.count("*").alias("n_docs"), F.count_if("found").alias("n_found"))
