@@ -30,8 +30,13 @@ from auditloom.session import checkpointed
 
 #: JSON types, in the order that breaks ties.
 TAGS = ["string", "boolean", "integer", "number", "array", "object"]
+#: Words for true and false in free entry (fixed values).
+YES = ["true", "1", "是", "y", "yes", "通过", "t"]
+NO = ["false", "0", "否", "n", "no", "不通过", "f"]
 #: Profiles at least so similar can be one field under two names.
 SAME_CONTENT = 0.5
+#: Steps in which two names are found to be one field before their content need not decide again.
+KNOWN_RENAMES = 2
 #: Distinct field names that the driver takes at most (names belong to the schema).
 MAX_FIELDS = 100_000
 
@@ -85,6 +90,10 @@ def _profile_terms(value: Column, kind: Column) -> Column:
     number = F.abs(F.try_variant_get(value, "$", "double"))
     scale = F.floor(F.log2(number + 1))
     magnitude = F.array(*[F.concat(F.lit("mag:"), (scale + d).cast("string")) for d in (-1, 0, 1)])
+    # true and false are worded in many ways; other wording is no other content
+    word = F.lower(F.trim(text))
+    flag = F.when(word.isin(YES), F.array(*map(F.lit, ("flag", "flag", "yes")))).when(word.isin(NO), F.array(*map(F.lit, ("flag", "flag", "no"))))
+    chars = F.coalesce(F.when(kind == "string", flag), chars)
     return F.when(kind == "boolean", F.array(F.lit("boolean"))).when(kind.isin("integer", "number"), magnitude).otherwise(chars)
 
 
@@ -124,8 +133,13 @@ def changes(
     profile = profile.join(norm, [*group_cols, file_col, "field"]).select(*group_cols, file_col, "field", "term", (F.col("w") / F.col("norm")).alias("w"))
     old = profile.select(*group_cols, F.col(file_col).alias("_before"), F.col("field").alias("old_field"), "term", F.col("w").alias("_wo"))
     new = profile.select(*group_cols, F.col(file_col).alias("_file"), F.col("field").alias("new_field"), "term", F.col("w").alias("_wn"))
-    alike = pairs.join(old, [*group_cols, "_before", "old_field"]).join(new, [*group_cols, "_file", "new_field", "term"])
-    alike = alike.groupBy(*group_cols, "_file", "old_field", "new_field").agg(F.sum(F.col("_wo") * F.col("_wn")).alias("sim")).where(F.col("sim") >= same_content)
+    sims = pairs.join(old, [*group_cols, "_before", "old_field"]).join(new, [*group_cols, "_file", "new_field", "term"])
+    sims = sims.groupBy(*group_cols, "_file", "old_field", "new_field").agg(F.sum(F.col("_wo") * F.col("_wn")).alias("sim"))
+    sims = checkpointed(pairs.select(*group_cols, "_file", "old_field", "new_field").join(sims, [*group_cols, "_file", "old_field", "new_field"], "left").withColumns({"_x": F.least("old_field", "new_field"), "_y": F.greatest("old_field", "new_field")}))
+    # a few values say little: names that are one field in other steps are one here
+    known = sims.where(F.col("sim") >= same_content).groupBy(kind_col, "_x", "_y").agg(F.count("*").alias("_k")).where(F.col("_k") >= KNOWN_RENAMES)
+    alike = sims.join(known, [kind_col, "_x", "_y"], "left").where((F.col("sim") >= same_content) | F.col("_k").isNotNull())
+    alike = alike.select(*group_cols, "_file", "old_field", "new_field", F.greatest(F.coalesce("sim", F.lit(0.0)), F.when(F.col("_k").isNotNull(), same_content).otherwise(0.0)).alias("sim"))
     by_old = Window.partitionBy(*group_cols, "_file", "old_field").orderBy(F.desc("sim"), "new_field")
     by_new = Window.partitionBy(*group_cols, "_file", "new_field").orderBy(F.desc("sim"), "old_field")
     renamed = alike.withColumns({"_a": F.row_number().over(by_old), "_b": F.row_number().over(by_new)}).where("_a = 1 and _b = 1")
@@ -162,11 +176,6 @@ def field_names(found: DataFrame, fields: DataFrame) -> dict[str, list[str]]:
     return {names[0]: names for names in groups.values()}
 
 
-#: Words for true and false in free entry (fixed values).
-YES = ["true", "1", "是", "y", "yes", "通过", "t"]
-NO = ["false", "0", "否", "n", "no", "不通过", "f"]
-
-
 def _typed(value: Column, main: str) -> Column:
     """A variant as typed branches with its tag and, by the field's main type, one canonical value."""
     kind = tag(value)
