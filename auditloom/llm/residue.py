@@ -57,6 +57,9 @@ RESIDUE = re.compile(
     r"|traceback \(most|nullreference|keyerror|exception in|fatal error|http \d{3}|error \d{3}|\b[45]\d\d (?:页面|服务|网关)"
     r"|页面不存在|页面已下线|网关(?:错误|超时)|服务器(?:内部)?错误|内部错误|无法连接到服务器|数据库连接失败|系统繁忙|站点维护|没有(?:查看)?权限|无权(?:查看|访问)|已(?:被)?删除|已下架|找不到您|请检查网址|稍后(?:再试|重试|再来)|没有及时应答"
     r"|(?:enable|requires?|allow|turn on|switch on|support)\b[^.]{0,30}(?:javascript|scripting|scripts|cookies?)|(?:javascript|cookies?|scripting) (?:is|are) (?:off|disabled|required)|启用 ?javascript|未启用|关闭了 ?(?:cookie|javascript)|禁用了?脚本|支持脚本|允许本站脚本|脚本被拦截|关闭脚本|浏览器版本过低|检查您的浏览器|更换浏览器"
+    r"|nothing (?:lives|exists|is) (?:at|here)|lives at this address|can(?:no|')t be (?:reached|displayed|found)|could not be (?:found|loaded|displayed)|has (?:moved|expired|been removed)|under maintenance|be right back|access denied|unavailable"
+    r"|needs? (?:scripts?|javascript|cookies?)|scripts? to be|(?:turned|switched) on in your|(?:update|upgrade|change) your browser|your browser (?:is|does|blocks|has)|拦截了?(?:页面)?脚本|页面无法(?:显示|打开|访问|加载)|无法(?:显示|打开|访问)(?:该|此|本)?(?:页|内容)|页面(?:走丢|丢失|已过期|出错)|内容不(?:存在|可用)|访问(?:被拒|受限)"
+    r"|placeholder text|dummy text|text here|示例(?:内容|段落|标题)|(?:此处|这里)(?:填写|放置|输入)|敬请期待"
     r"|示例文字|文字占位|仅供排版|测试测试|这里是(?:标题|正文|副标题)|正文内容正文|your text goes here|sample (?:heading|paragraph|text)|layout only|double-click to edit|asdf asdf|qwer",
     re.I,
 )
