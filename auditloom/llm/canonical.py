@@ -98,9 +98,9 @@ def similarity(token: str, target: str, kind: str) -> float:
     return 1 - (0.5 if heard else 1.0) * d / (len(target) + 1)
 
 
-def vocabulary(entries: dict[str, list[str]]) -> list[tuple[str, int, str, int, float]]:
+def vocabulary(entries: dict[str, list[str] | None]) -> list[tuple[str, int, str, int, float]]:
     """``(entry, phrase number, token, length of the phrase, weight)`` of every reference token."""
-    phrases = [(e, p) for e, ps in entries.items() for p in dict.fromkeys([e, *ps])]
+    phrases = [(e, p) for e, ps in entries.items() if ps is not None for p in dict.fromkeys([e, *ps])]
     if len(phrases) > MAX_PHRASES:
         raise ValueError("the reference list is larger than the documented bound")
     uses: dict[str, set[str]] = {}
@@ -120,10 +120,11 @@ def vocabulary(entries: dict[str, list[str]]) -> list[tuple[str, int, str, int,
     return [(e, n, t, length, idf[t] / size[n]) for e, n, t, length in rows]
 
 
-def map_values(values: DataFrame, value_col: str, entries: dict[str, list[str]], hints: DataFrame | None = None) -> DataFrame:
+def map_values(values: DataFrame, value_col: str, entries: dict[str, list[str] | None], hints: DataFrame | None = None) -> DataFrame:
     """``value_col, entry, score`` of every distinct value; entry '' if none fits.
 
-    ``entries`` gives each entry its phrases.  ``hints`` (value, entry, n) breaks ties.
+    ``entries`` gives each entry its phrases besides its name; None if nothing but
+    the exact entry may be it.  ``hints`` (value, entry, n) breaks ties.
     """
     spark = values.sparkSession
     rows = vocabulary(entries)
@@ -170,7 +171,7 @@ def map_values(values: DataFrame, value_col: str, entries: dict[str, list[str]],
     return distinct.join(chosen, value_col, "left").select(value_col, F.coalesce("entry", F.lit("")).alias("entry"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def map_rows(df: DataFrame, id_col: str, value_col: str, entries: dict[str, list[str]], hint_col: str | None = None, fallback: Column | None = None) -> DataFrame:
+def map_rows(df: DataFrame, id_col: str, value_col: str, entries: dict[str, list[str] | None], hint_col: str | None = None, fallback: Column | None = None) -> DataFrame:
     """``id_col, entry`` of every row of ``df`` whose value is neither null nor blank nor exactly an entry."""
     blank = F.regexp_replace(value_col, r"[\s\x{00A0}\x{00AD}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]+", "") == ""
     rows = df.where(F.col(value_col).isNotNull() & ~blank & ~F.col(value_col).isin(list(entries)))

@@ -24,10 +24,10 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_classes(_names(spark, sf_dir), "name")
 
 
-def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str] | None]:
     """The reference list (fixed) with the words of each entry; 其他 is an entry only by its own name."""
     names = [r["type_name"] for r in table(spark, sf_dir, "source_type_list").orderBy("type_id").select("type_name").collect()]
-    return {n: canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in names}
+    return {n: None if n == "其他" else canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in names}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

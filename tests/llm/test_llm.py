@@ -78,7 +78,7 @@ def test_neighbours_like_brute_force(spark):
 
 # p4
 
-ENTRIES = {n: canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in ["技术文档", "研究报告", "标准规范", "技术社区", "代码仓库", "官方网站", "专利文献", "数据集", "学术论文", "数据库", "新闻资讯", "课程教程", "其他"]}
+ENTRIES = {n: None if n == "其他" else canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in ["技术文档", "研究报告", "标准规范", "技术社区", "代码仓库", "官方网站", "专利文献", "数据集", "学术论文", "数据库", "新闻资讯", "课程教程", "其他"]}
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +94,7 @@ def test_map_values(mapped):
     want = {
         "研穷报告": "研究报告", "究研报告": "研究报告", "ｗｈｉｔｅ ｐａｐｅｒ": "研究报告", "whitep aper": "研究报告", "第三方行业研报": "研究报告", "白 皮书（PDF）": "研究报告", "砖利": "专利文献", "数据裤": "数据库", "数据积": "数据集",
         "论谈": "技术社区", "伦文": "学术论文", "YANJIU-BAOGAO": "研究报告", "repos": "代码仓库", "官罔": "官方网站", "叫程": "课程教程", "nws": "新闻资讯", "開放數據集": "数据集",
-        "登录页": "", "厂商价格表": "", "job board": "", "n/a": "", "？": "", "地图": "", "x" * 50_000: "",
+        "登录页": "", "厂商价格表": "", "job board": "", "n/a": "", "？": "", "地图": "", "其它": "", "其他资料": "", "x" * 50_000: "",
     }
     assert mapped(want) == want
 
