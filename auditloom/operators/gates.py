@@ -94,3 +94,14 @@ def coverage(located: DataFrame, searches: DataFrame, nodes: DataFrame) -> DataF
     r, x = F.coalesce("_r", F.lit(0)), F.coalesce("_x", F.lit(0))
     rows = nodes.join(recorded, ["run_id", "node"], "left").join(extracted, ["run_id", "node"], "left")
     return rows.select("run_id", "node", r.alias("recorded"), x.alias("extracted"), F.greatest(F.lit(0), x - r).alias("missing"))
+
+
+def nearest_declared(knowledge: DataFrame, declared: DataFrame) -> DataFrame:
+    """``store_id, name, suggestion`` for recorded names that are not declared; ties go to the first in code point order."""
+    names = declared.select("run_id", "name").distinct()
+    odd = knowledge.where("name is not null").join(names, ["run_id", "name"], "left_anti").select("store_id", "run_id", "name")
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    keys = names.select("run_id", F.col("name").alias("suggestion"), F.explode(pairs(F.col("name"))).alias("k"))
+    met = odd.withColumn("k", F.explode(pairs(F.col("name")))).join(keys, ["run_id", "k"]).select("store_id", "name", "suggestion").distinct()
+    best = met.groupBy("store_id", "name").agg(F.min(F.struct(F.levenshtein("name", "suggestion").alias("d"), "suggestion")).getField("suggestion").alias("suggestion"))
+    return odd.select("store_id", "name").join(best, ["store_id", "name"], "left")

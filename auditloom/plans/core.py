@@ -656,3 +656,49 @@ def decision_sentences(spark, sf_dir):
 @query("select * from (values ('思考', 40::bigint), ('工具返回', 16::bigint)) t(bucket, chars)")
 def context_chars(spark, sf_dir):
     return audit.context_chars(_transcript(spark))
+
+
+@query("select file_kind, count(*) n_lines, count(*) filter (not coalesce(json_valid(record), false)) n_bad from run_file_rows group by 1")
+def scan_store_bad_lines(spark, sf_dir):
+    """Archived lines by kind, and those that cannot be read."""
+    bad = F.count_if(F.try_parse_json("record").isNull())
+    return table(spark, sf_dir, "run_file_rows").groupBy("file_kind").agg(F.count("*").alias("n_lines"), bad.alias("n_bad"))
+
+
+@query("select store_id, coalesce(regexp_matches(url, '" + "|".join(vocab.SINGLE_DOCUMENT) + "'), false) is_single from store where type = 'source'")
+def single_doc(spark, sf_dir):
+    return logs.sources(spark, sf_dir).select("store_id", F.coalesce(F.col("url").rlike("|".join(vocab.SINGLE_DOCUMENT)), F.lit(False)).alias("is_single"))
+
+
+@query(_with(_KNOW, _DECLARED) + "select distinct run_id, name, 'store' origin from kno where name is not null union all select distinct run_id, name, 'manifest' from dec where list = 'knowledge' and run_id not in (select run_id from kno)")
+def knowledge_source_pick(spark, sf_dir):
+    """A run's knowledge: from its store if that has any, else from its manifest."""
+    k = logs.knowledge(spark, sf_dir)
+    own = k.where("name is not null").select("run_id", "name", F.lit("store").alias("origin")).distinct()
+    rest = logs.declared(spark, sf_dir).where("list = 'knowledge'").select("run_id", "name", F.lit("manifest").alias("origin")).distinct()
+    return own.unionByName(rest.join(k.select("run_id").distinct(), "run_id", "left_anti"))
+
+
+@query(
+    _with(_SRC, _NODES, _LEAF, _KNOW, _DECLARED)
+    + ", c as (select s.run_id, l.leaf node, coalesce(s.source_type, '') source_type, count(*) n from src s join leaf l using (store_id) group by 1, 2, 3), t as (select run_id, node, string_agg(source_type || ':' || n, '; ' order by n desc, source_type) types from c group by 1, 2), "
+    "p as (select d.run_id, d.node, string_agg(distinct d.name, '; ' order by d.name) pending from dec d where not exists (select 1 from kno k where k.run_id = d.run_id and k.name = d.name) group by 1, 2) "
+    "select n.run_id, n.node, coalesce(t.types, '') types, coalesce(p.pending, '') pending from nod n left join t using (run_id, node) left join p using (run_id, node)"
+)
+def coverage_details(spark, sf_dir):
+    """Types recorded and items pending at every declared node."""
+    counts = _located(spark, sf_dir).where("leaf is not null").groupBy("run_id", F.col("leaf").alias("node"), F.coalesce("source_type", F.lit("")).alias("source_type")).agg(F.count("*").alias("n"))
+    types = catalog.type_text(counts, ["run_id", "node"], "source_type", "n").drop("n")
+    done = logs.knowledge(spark, sf_dir).where("name is not null").select("run_id", "name").distinct()
+    left = logs.declared(spark, sf_dir).join(done, ["run_id", "name"], "left_anti").groupBy("run_id", "node").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("pending"))
+    rows = logs.nodes(spark, sf_dir).join(types, ["run_id", "node"], "left").join(left, ["run_id", "node"], "left")
+    return rows.select("run_id", "node", F.coalesce("types", F.lit("")).alias("types"), F.coalesce("pending", F.lit("")).alias("pending"))
+
+
+@query()
+def nearest_name(spark, sf_dir):
+    """For each recorded name that the manifest lacks, the declared name nearest to it.
+
+    Candidates share a pair of characters, so no pairs of all names are formed.
+    """
+    return gates.nearest_declared(logs.knowledge(spark, sf_dir), logs.declared(spark, sf_dir))
