@@ -183,7 +183,10 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
 
     key = F.xxhash64(F.col(id_col).cast("string"))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), key.alias("_h")).orderBy("_h").limit(SAMPLE_DOCUMENTS)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), key.alias("_h"))
+    # cut by hash where the texts lie, else every partition would send SAMPLE_DOCUMENTS texts to one task
+    share = min(1.0, 1.2 * SAMPLE_DOCUMENTS / max(1, rows.count()))
+    sample = rows.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).orderBy("_h").limit(SAMPLE_DOCUMENTS).repartition(16)
     labelled = sample.select("text").mapInPandas(label, "form string, first boolean, residue boolean")
     counted = labelled.groupBy("form", "first").agg(F.count_if("residue").alias("pos"), F.count_if(~F.col("residue")).alias("neg"))
     # both labels keep their share of the bound: the order is by hash, not by label
