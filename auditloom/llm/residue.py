@@ -44,12 +44,12 @@ MARK = ""
 
 #: Shapes of unfilled placeholders and failed substitutions (fixed values).
 PLACEHOLDER = re.compile(
-    r"\{\{\s*[\w.\- ]{1,40}\s*\}\}|[$#]\{[\w.\- ]{1,40}\}|<%=?[^%<>\n]{1,60}%>|\{%[^%{}\n]{1,60}%\}|%\([A-Za-z_]\w*\)[sd]|%[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*%"
-    r"|__[A-Za-z]\w*?__|@@\w+?@@|\[\[[\w ]{1,40}\]\]|\{[A-Za-z_]\w*\}|\{\d{1,2}\}|｛[^｛｝\n]{1,30}｝|<!-- ?\w{1,30} ?-->"
+    r"(?=[{$#<%_@\[｛【（(«X×uNny])(?:\{\{\s*[\w.\- ]{1,40}\s{0,9}\}\}|[$#]\{[\w.\- ]{1,40}\}|<%=?[^%<>\n]{1,60}%>|\{%[^%{}\n]{1,60}%\}|%\([A-Za-z_]\w{0,40}\)[sd]|%[A-Za-z]\w{0,40}%"
+    r"|__[A-Za-z]\w{0,40}?__|@@\w{1,40}?@@|\[\[[\w ]{1,40}\]\]|\{[A-Za-z_]\w{0,40}\}|\{\d{1,2}\}|｛[^｛｝\n]{1,30}｝|<!-- ?\w{1,30} ?-->"
     r"|【(?:请填写|待填|请输入|此处填写|填写)[^】\n]{0,30}】|【[^】\n]{1,12}待填】|（[^（）\n]{1,16}待(?:填|补)）|\([^()\n]{1,16}待填\)|\[YOUR [^\]\n]{1,40} HERE\]|\[(?:INSERT|ENTER|ADD) [^\]\n]{1,40}\]"
-    r"|\[(?:此处|在此)[^\]\n]{1,30}\]|\[(?:节点名|图表|领域|简介|联系方式|发布日期|访问地址|公司名称|标题|姓名|日期)\]|<(?:在此|此处|请)[^<>\n]{1,30}>|«[^«»\n]{1,16}»|_{3,}（[^（）\n]{1,16}）"
-    r"|(?:X{3,}|×{2,})[一-鿿]{1,6}?(?=[一-鿿。，,.\s])|\[object Object\]|\(null\)|\(undefined\)"
-    r"|(?<![A-Za-z0-9_\"'`=.])(?:undefined|NaN)(?![A-Za-z0-9_\"'`=])|(?<=[：:])\s*(?:null|None|NULL)(?![A-Za-z0-9_])|(?<![A-Za-z0-9_\"'`=.])(?:null|None|NULL)(?=[一-鿿])|(?<=See )(?:null|None) (?=for)|(?<=[与由])(?:null|None)|YYYY-MM-DD|yyyy-mm-dd"
+    r"|\[(?:此处|在此)[^\]\n]{1,30}\]|\[(?:节点名|图表|领域|简介|联系方式|发布日期|访问地址|公司名称|标题|姓名|日期)\]|<(?:在此|此处|请)[^<>\n]{1,30}>|«[^«»\n]{1,16}»|(?<!_)_{3,40}（[^（）\n]{1,16}）"
+    r"|(?:(?<!X)X{3,12}|(?<!×)×{2,12})[一-鿿]{1,6}?(?=[一-鿿。，,.\s])|\[object Object\]|\(null\)|\(undefined\)"
+    r"|(?<![A-Za-z0-9_\"'`=.])(?:undefined|NaN)(?![A-Za-z0-9_\"'`=])|(?<=[：:])(?:null|None|NULL)(?![A-Za-z0-9_])|(?<=[：:] )(?:null|None|NULL)(?![A-Za-z0-9_])|(?<![A-Za-z0-9_\"'`=.])(?:null|None|NULL)(?=[一-鿿])|(?<=See )(?:null|None) (?=for)|(?<=[与由])(?:null|None)|(?<![A-Za-z])yyyy-mm-dd)|(?<![A-Za-z])YYYY-MM-DD"
 )
 #: Phrases that stand on error pages, in filler and in script notices (fixed values).
 RESIDUE = re.compile(
@@ -69,7 +69,8 @@ DISCUSSES = re.compile(r"因此|统计中|拒收|从清单|手册|文档给出|
 MENU = re.compile(r"^(?:©|copyright|返回(?:首页|顶部)|点击此处|登录 ?/|首页\b|home\b ?[>|]|时间 .{0,30}节点|语言：|loading…?$|[0-9a-f]{8,}$|\d+$)|(?:(?: \| | · | > ).*){3,}|版权所有", re.I)
 
 #: The same inside a line, as on pages whose line breaks were lost (fixed values).
-INLINE_MENU = re.compile(r"(?:\S{1,8} \| ){2,}\S{1,8}|登录 ?/ ?注册|语言：\S+|\bHome(?: > \w+)+|(?:\d+ 秒后)?返回(?:首页|顶部)|© ?\d{4} .{1,40}?版权所有|(?:\S+ · ){2,}\S+")
+INLINE_MENU = re.compile(r"登录 ?/ ?注册|语言：\S{1,20}|\bHome(?: > \w{1,20})+|(?:\d{1,4} 秒后)?返回(?:首页|顶部)|© ?\d{4} .{1,40}?版权所有")
+_LIST = re.compile(r"(?:[^\s|·]{1,24} [|·] ){2,}[^\s|·]{1,24}")
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _CUT = re.compile(r"(?<=[。！？!?])(?![”’」』\"'])|\n+|(?<=[.;:]) +(?=[A-Z(])|(?<=[。]) +")
@@ -79,6 +80,8 @@ _DIGITS = re.compile(r"\d+")
 def segments(text: str) -> list[str]:
     """The lines and sentences of a text, code taken out and placeholders marked."""
     text = _FENCE.sub(" ", text)
+    if " | " in text or " · " in text:
+        text = _LIST.sub("\n", text)
     text = INLINE_MENU.sub("\n", PLACEHOLDER.sub(MARK, text))
     return [s for x in _CUT.split(text) if (s := x.strip())]
 

@@ -332,6 +332,15 @@ def test_residue(spark, documents):
     assert residue.cases(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("unit", ["x", "{", "{{", "_", "__a", "`", "X", "%a", "@", "[", "（", "| ", " · ", "\n", "a b "])
+def test_long_odd_texts_are_read_in_linear_time(unit):
+    import time
+
+    began = time.time()
+    residue.segments(unit * (100_000 // len(unit)))
+    assert time.time() - began < 5
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.queries()))
 def test_queries_run(spark, sf, name):
     assert llm_queries.queries()[name](spark, sf).count() >= 0
