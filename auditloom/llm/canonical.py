@@ -36,7 +36,8 @@ MAX_PHRASES = 50_000
 ENOUGH = 0.7
 #: What people put before and behind an entry without changing it (fixed values).
 BEFORE = ["国内", "海外", "权威", "最新", "免费", "厂商", "第三方", "英文", "中文", "官方发布的", "the "]
-BEHIND = re.compile(r"(?:[\s\-*/。.,，、;；:：~·]+|等|类|\((?:pdf|链接|网页版|英文版|中文版|下载)\)|-(?:英文版|中文版|pdf))+$")
+BEHIND = ["等", "类", *[f"({w})" for w in ("pdf", "链接", "网页版", "英文版", "中文版", "下载")], "-英文版", "-中文版", "-pdf"]
+_EDGE = " -*/。.,，、;；:：~·()（）[]【】\"'“”"
 _CJK = re.compile(r"[㐀-鿿]+")
 _LATIN = re.compile(r"[a-z]+|[0-9]+")
 
@@ -47,7 +48,10 @@ def core(raw: str) -> str:
     text = re.sub(r"(?<=[㐀-鿿]) +| +(?=[㐀-鿿])", "", text)
     before = None
     while before != text:
-        before, text = text, BEHIND.sub("", text).strip(" -*/。.,，、;；:：~·()（）[]【】\"'“”")
+        before = text
+        text = text.rstrip(" -*/。.,，、;；:：~·")
+        text = next((text[: -len(b)] for b in BEHIND if text.endswith(b)), text)
+    text = text.strip(_EDGE)
     return text
 
 

@@ -30,12 +30,18 @@ from auditloom.session import checkpointed
 #: White space and characters without width, which may stand anywhere in an address.
 _BLANK = re.compile(r"[\s\u00ad\u180e\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]+")
 _SCHEME = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?/{2,}|^(?:https?|ftp):/*")
-_ANCHOR = re.compile(r"#+\d*$")
 _EDGE = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "#%=-_~") + "“”‘’「」『』【】〈〉《》、。，；：！？·…"
 _HOST = re.compile(r"^(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_][\w\-]*$|^localhost$|^\d{1,3}(?:\.\d{1,3}){3}$")
 _PORT = re.compile(r":(?:80|443)?$")
 
 
+def _without_anchors(text: str) -> str:
+    """``text`` without ``#`` and digits at its end; digits that no ``#`` precedes stay."""
+    head = text.rstrip("#0123456789")
+    cut = text.find("#", len(head))
+    return text if cut < 0 else text[:cut]
+
+
 def page_fields(address: str | None) -> list[tuple[str, str]] | None:
     """The (field, value) pairs of the page that ``address`` names, or None if it names none.
 
@@ -50,14 +56,14 @@ def page_fields(address: str | None) -> list[tuple[str, str]] | None:
         text = html.unescape(text)
     before = None
     while before != text:  # anchors and wrapping punctuation alternate at the end
-        before, text = text, _ANCHOR.sub("", text.rstrip(_EDGE))
+        before, text = text, _without_anchors(text.rstrip(_EDGE))
         text = text.lstrip(_EDGE.replace("/", ""))
     text = _SCHEME.sub("", text).lstrip(_EDGE)
     place, _, params = text.partition("?")
     host, *path = re.split(r"[/\\]+", place)
     host = _PORT.sub("", host).strip(_EDGE)
     host = re.sub(r"\.{2,}", ".", host)
-    if not _HOST.match(host):
+    if len(host) > 253 or not _HOST.match(host):
         return None
     # punctuation around and between segments and parameters has no effect
     path = [s for s in (x.strip(_EDGE) for x in path) if s]
