@@ -5,11 +5,14 @@ fixed number.  A pair's score is how far its mutual information lies below a
 threshold.  The information is taken within the classes of the two characters
 (else all rare scripts would look bound together, garbled ones most) and
 discounted where pair or characters are rare; the maximum-scoring segments of these
-scores are the improbable runs of a string.  Only inside such runs (grown to the
+scores are the improbable runs of a string.  Inside such runs (grown to the
 borders of their script) inverse mappings are tried: the run is encoded with a
 wrong and decoded with a right encoding, again for text garbled twice, and the
 result has to be valid nearly throughout and made of characters that the corpus
-knows.  Replacement and C1 control characters in a run are damage beyond repair.
+knows.  Copies of a record make its own pairs look bound together, so no count can
+clear a string: where bytes of UTF-8 show under a wrong reading (``telling``), every
+run is tried under stricter rules.  Replacement and C1 control characters are damage
+beyond repair.
 
 Scale: two maps over the records without shuffling them; the bins are summed
 map-side, at most ``PAIR_BINS + CHAR_BINS`` numbers leave the executors and are
@@ -80,6 +83,36 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def _shapes() -> tuple[np.ndarray, ...]:
+    """By encoding (one bit each): characters read from a leading byte of UTF-8, from one within a character, from both, and from two high bytes."""
+    lead, inner, both, high = (np.zeros(CHAR_BINS, dtype=np.uint8) for _ in range(4))
+    for bit, table in enumerate(_TABLES.values()):
+        for c, b in table.items():
+            lead[c] |= (0xC2 <= b < 0xF5) << bit
+            inner[c] |= (0x80 <= b < 0xC0) << bit
+    for c in _TABLES["cp1252"]:
+        high[c] = _TABLES["cp1252"][c] > 0x80
+    for bit, name in enumerate(MULTI, len(_TABLES)):
+        for c in range(0x80, CHAR_BINS):
+            raw = chr(c).encode(name, "ignore")
+            if raw:
+                both[c] |= (len(raw) > 1 and 0xE3 <= raw[0] < 0xEA and 0x80 <= raw[1] < 0xC0) << bit
+                inner[c] |= (0x80 <= raw[0] < 0xC0) << bit
+    return lead | both, inner, high
+
+
+_LEAD, _INNER, _HIGH = _shapes()
+
+
+def telling(flat: np.ndarray) -> np.ndarray:
+    """The places where neighbouring characters can be UTF-8 in a wrong reading, or two bytes a character in cp1252, or a C1 control."""
+    c = np.minimum(flat, CHAR_BINS - 1)
+    out = (c >= 0x80) & (c < 0xA0) & (c != 0x85)
+    out[:-1] |= (_LEAD[c[:-1]] & _INNER[c[1:]]) > 0
+    out[:-3] |= (_HIGH[c[:-3]] & _HIGH[c[1:-2]] & _HIGH[c[2:-1]] & _HIGH[c[3:]]) > 0
+    return out
+
+
 class Corpus:
     """What the passes know of all strings: bins of characters and pairs."""
 
@@ -233,6 +266,20 @@ def inverse(run: str, corpus: Corpus, depth: int = 3) -> str | None:
     return best[1]
 
 
+def holds(run: str, corpus: Corpus) -> bool:
+    """Whether an inverse mapping of a run holds without regard to how probable its pairs are.
+
+    Several characters that the corpus knows, or one that gives just this run.
+    """
+    meant = inverse(run, corpus)
+    own = [c for c in meant or "" if c > "\x7f"]
+    if len(own) > 1 and corpus.knows(meant) >= KNOWN:
+        return True
+    if not own or any(corpus.chars[ord(c) & (CHAR_BINS - 1)] < corpus.known for c in own):
+        return False
+    return len(own) > 1 or any(_encode(run, w) == meant.encode() for w in ("cp1252", *MULTI))
+
+
 def _parts(text: str) -> list[tuple[int, int]]:
     """All runs of one script besides ASCII; a lone symbol within CJK belongs to it."""
     kinds = [1 if c == _REPLACED else _kind(c) for c in text]
@@ -261,7 +308,9 @@ def repair(text: str, corpus: Corpus, scores: np.ndarray | None = None) -> tuple
         scores = corpus.scores(codes([text])) if scores is None else scores
         runs = {r for a, b in maximal_segments(scores) for r in grow(text, a, b + 1)}
         if not any(_controls(text[a:b]) or inverse(text[a:b], corpus) is not None for a, b in runs):
-            return False, text
+            told = telling(codes([text]))
+            if not told.any() or not any(told[a:b].any() and (_controls(text[a:b]) or holds(text[a:b], corpus)) for a, b in _parts(text)):
+                return False, text
     out, at = [], 0
     for a, b in _parts(text):  # a text with one garbled run may have others that look less strange
         meant = inverse(text[a:b], corpus)
@@ -301,16 +350,18 @@ def learn(df: DataFrame, column: str) -> tuple[Corpus, set[str]]:
 
 
 def judge(texts: list[str], corpus: Corpus) -> dict[str, tuple[bool, str | None]]:
-    """Verdict of every string of ``texts`` that has an improbable run or a lost character."""
+    """Verdict of every string of ``texts`` that has an improbable or telling run or a lost character."""
     odd = [t for t in dict.fromkeys(texts) if len(t) > 1 and not t.isascii()]
     out: dict[str, tuple[bool, str | None]] = {t: (True, None) for t in texts if t == _REPLACED}
     for at in range(0, len(odd), 20_000):
         part = odd[at : at + 20_000]
-        scores = corpus.scores(codes(part))
+        flat = codes(part)
+        scores = corpus.scores(flat)
         first = np.r_[0, np.cumsum([len(t) for t in part])[:-1]]
         best = best_segment(scores, first)
-        for t, f, g in zip(part, first, best):
-            if g >= enough(len(t)) or _REPLACED in t or _REREAD in t:
+        told = np.logical_or.reduceat(telling(flat), first)
+        for t, f, g, tell in zip(part, first, best, told):
+            if g >= enough(len(t)) or tell or _REPLACED in t or _REREAD in t:
                 bad = repair(t, corpus, scores[f : f + len(t) - 1])
                 if bad[0]:
                     out[t] = bad

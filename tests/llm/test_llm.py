@@ -162,6 +162,18 @@ def test_segments_like_brute_force():
         assert np.allclose(got, [best(a), best(b)])
 
 
+@pytest.mark.parametrize("wrong", ["gb18030", "cp1252", "cp1251"])
+def test_copies_of_a_garbled_record_do_not_clear_it(spark, wrong):
+    rng = random.Random(6)
+    good = ["年度报告", "测试条件", "数据集平台", "公开样本", "参数数据库", "目录页按年份归档"]
+    bad = "年度报告下载".encode().decode(wrong, "ignore")
+    rows = [(i, json.dumps(["".join(rng.choice(good) for _ in range(4)) + "下载"], ensure_ascii=False)) for i in range(400)] + [(1000 + i, json.dumps([bad], ensure_ascii=False)) for i in range(200)]
+    df = spark.createDataFrame(rows, "evidence_id bigint, tool_response string")
+    got = {r["evidence_id"]: r["restored"] for r in garbled.find_garbled(df, "evidence_id", "tool_response").collect()}
+    assert set(got) == set(range(1000, 1200))
+    assert wrong == "cp1251" or set(got.values()) == {"年度报告下载"}
+
+
 def test_find_garbled(spark):
     rng = random.Random(2)
     good = ["年度报告", "测试条件", "数据集平台", "公开样本"]
