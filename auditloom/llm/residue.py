@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: documents sampled, segments of them that count, and of each label.
+#: Bounds of the fit: documents sampled, segments of them that count (half for each label, and what the other leaves).
 SAMPLE_DOCUMENTS, SAMPLE_SEGMENTS = 20_000, 40_000
 #: Size of the hashed feature space (a power of two) and lengths of n-grams.
 FEATURES, ORDERS = 1 << 18, (1, 2, 3, 4)
@@ -174,12 +174,16 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             yield pd.DataFrame(rows, columns=["form", "first", "residue", "size"])[["form", "first", "residue"]]
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"form": [], "first": [], "pos": [], "neg": []})])
-        if not len(pdf) or pdf["pos"].sum() == 0 or pdf["neg"].sum() == 0:
+        pdf = pd.concat(list(batches) or [pd.DataFrame({"form": [], "first": [], "pos": [], "neg": [], "rank": []})])
+        residue = (pdf["pos"] > pdf["neg"]).to_numpy(dtype=bool)
+        half, n = SAMPLE_SEGMENTS // 2, residue.sum()
+        share = np.where(residue, max(half, SAMPLE_SEGMENTS - (len(pdf) - n)), max(half, SAMPLE_SEGMENTS - n))
+        pdf, residue = pdf[pdf["rank"] <= share], residue[pdf["rank"] <= share]
+        if residue.all() or not residue.any():  # one label alone: nothing to tell apart
             w = np.zeros(SPACE + 1)
-            w[-1] = -1.0
+            w[-1] = 1.0 if len(pdf) and residue.all() else -1.0
         else:
-            labels = (pdf["pos"] > pdf["neg"]).to_numpy(dtype=float)
+            labels = residue.astype(float)
             weight = np.log2(1 + (pdf["pos"] + pdf["neg"]).to_numpy(dtype=float))
             weight[labels == 1] *= weight[labels == 0].sum() / max(1e-9, weight[labels == 1].sum()) * 0.5
             w = fit(pdf["form"].tolist(), pdf["first"].tolist(), labels, np.minimum(weight, 8.0))
@@ -192,8 +196,9 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     sample = rows.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).orderBy("_h").limit(SAMPLE_DOCUMENTS).repartition(16)
     labelled = sample.select("text").mapInPandas(label, "form string, first boolean, residue boolean")
     counted = labelled.groupBy("form", "first").agg(F.count_if("residue").alias("pos"), F.count_if(~F.col("residue")).alias("neg"))
-    # both labels keep their share of the bound: the order is by hash, not by label
-    bounded = counted.orderBy(F.desc(F.col("pos") > 0), F.xxhash64("form")).limit(SAMPLE_SEGMENTS)
+    # each label has half of the bound by hash, and what the other leaves of its half
+    by_hash = Window.partitionBy(F.col("pos") > F.col("neg")).orderBy(F.xxhash64("form"), "form", "first")
+    bounded = counted.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= SAMPLE_SEGMENTS)
     row = bounded.coalesce(1).mapInPandas(one, "w binary").first()
     if row is None:  # no documents, nothing to learn
         return np.r_[np.zeros(SPACE), -1.0]

@@ -344,6 +344,18 @@ def test_residue(spark, documents):
     assert residue.cases(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_residue_with_more_residue_than_the_sample_holds(spark, documents, monkeypatch):
+    monkeypatch.setattr(residue, "SAMPLE_SEGMENTS", 200)
+    more = [(5000 + i, f"502 Bad Gateway {chr(0x4E00 + i)}\n网关错误{chr(0x5200 + i)}，请稍后重试。", "h", True) for i in range(200)]
+    rows = [r for r in documents if r[0] not in (3000, 3001, 3002)] + more
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, truth boolean")
+    got = {r["doc_id"] for r in residue.cases(df, "doc_id", "text").collect()}
+    want = {r[0] for r in rows if r[3]}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(rows)
+    only = spark.createDataFrame(more, "doc_id bigint, text string, source string, truth boolean")
+    assert residue.cases(only, "doc_id", "text").count() == len(more)
+
+
 @pytest.mark.parametrize("unit", ["x", "{", "{{", "_", "__a", "`", "X", "%a", "@", "[", "（", "| ", " · ", "\n", "a b "])
 def test_long_odd_texts_are_read_in_linear_time(unit):
     import time
