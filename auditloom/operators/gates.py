@@ -97,11 +97,27 @@ def coverage(located: DataFrame, searches: DataFrame, nodes: DataFrame) -> DataF
 
 
 def nearest_declared(knowledge: DataFrame, declared: DataFrame) -> DataFrame:
-    """``store_id, name, suggestion`` for recorded names that are not declared; ties go to the first in code point order."""
-    names = declared.select("run_id", "name").distinct()
-    odd = knowledge.where("name is not null").join(names, ["run_id", "name"], "left_anti").select("store_id", "run_id", "name")
+    """``store_id, name, suggestion``: for recorded names that are not declared the nearest of their run by edit distance.
+
+    Ties go to the first in code point order.  Names that share a pair of characters
+    and the shortest name of the run give a bound; a name that shares no pair lies at
+    least half of its own and of the other's pairs away, so it is only compared where
+    its length leaves room under that bound.
+    """
+    names = declared.where("name is not null").select("run_id", F.col("name").alias("suggestion")).distinct()
+    odd = knowledge.where("name is not null").join(names.withColumnRenamed("suggestion", "name"), ["run_id", "name"], "left_anti").select("store_id", "run_id", "name")
+    asked = odd.select("run_id", "name").distinct()
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    keys = names.select("run_id", F.col("name").alias("suggestion"), F.explode(pairs(F.col("name"))).alias("k"))
-    met = odd.withColumn("k", F.explode(pairs(F.col("name")))).join(keys, ["run_id", "k"]).select("store_id", "name", "suggestion").distinct()
-    best = met.groupBy("store_id", "name").agg(F.min(F.struct(F.levenshtein("name", "suggestion").alias("d"), "suggestion")).getField("suggestion").alias("suggestion"))
-    return odd.select("store_id", "name").join(best, ["store_id", "name"], "left")
+    keys = names.select("run_id", "suggestion", F.explode(pairs(F.col("suggestion"))).alias("k"))
+    near = F.struct(F.levenshtein("name", "suggestion").alias("d"), "suggestion")
+    met = asked.withColumn("k", F.explode(pairs(F.col("name")))).join(keys, ["run_id", "k"]).select("run_id", "name", "suggestion").distinct()
+    met = met.groupBy("run_id", "name").agg(F.min(near).alias("_b"))
+    short = names.groupBy("run_id").agg(F.min(F.struct(F.length("suggestion"), "suggestion")).getField("suggestion").alias("suggestion"))
+    first = asked.join(short, "run_id").select("run_id", "name", near.alias("_b"))
+    best = first.unionByName(met).groupBy("run_id", "name").agg(F.min("_b").alias("_b"))
+    # lengths that names without a shared pair can have at most at that distance
+    d, n = F.col("_b.d"), F.length("name")
+    room = best.where((n - 1) / 2 <= d).withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), n - d), F.least(n + d, 2 * d + 1))))
+    rest = room.join(names.withColumn("_n", F.length("suggestion")), ["run_id", "_n"]).groupBy("run_id", "name").agg(F.min(near).alias("_b"))
+    best = best.unionByName(rest).groupBy("run_id", "name").agg(F.min("_b").getField("suggestion").alias("suggestion"))
+    return odd.join(best, ["run_id", "name"], "left").select("store_id", "name", "suggestion")

@@ -699,6 +699,6 @@ def coverage_details(spark, sf_dir):
 def nearest_name(spark, sf_dir):
     """For each recorded name that the manifest lacks, the declared name nearest to it.
 
-    Candidates share a pair of characters, so no pairs of all names are formed.
+    Names that share no pair of characters are compared only where they can be the nearest.
     """
     return gates.nearest_declared(logs.knowledge(spark, sf_dir), logs.declared(spark, sf_dir))

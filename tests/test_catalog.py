@@ -110,3 +110,25 @@ def test_empty_tables(spark):
     assert catalog.keep_first(s, "store_id", ["run_id"]).count() == 0
     assert catalog.stats_by_node(catalog.leaf_nodes(s, n, "store_id"), n).count() == 0
     assert evidence.grounded(s, e, "store_id").count() == 0
+
+
+def test_nearest_declared_like_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+    told = sorted({(f"r{i % 4}", word()) for i in range(40)}) + [("s", "甲乙"), ("s", "远处的一个名称"), ("t", None)]
+    rows = [(i, f"r{i % 4}", word()) for i in range(200)] + [(900, "s", "甲丙"), (901, "t", "x"), (902, "u", "x"), (903, "s", None), (904, "s", "甲乙"), (905, "s", "甲丙")]
+    got = gates.nearest_declared(spark.createDataFrame(rows, "store_id int, run_id string, name string"), spark.createDataFrame(told, "run_id string, name string"))
+    want = {}
+    for i, run, name in rows:
+        own = [n for r, n in told if r == run and n is not None]
+        if name is not None and name not in own:
+            want[i] = min(own, key=lambda n: (distance(name, n), n), default=None)
+    assert {r["store_id"]: r["suggestion"] for r in got.collect()} == want and want[900] == "甲乙"
