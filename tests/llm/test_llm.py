@@ -344,6 +344,24 @@ def test_residue(spark, documents):
     assert residue.cases(df.limit(0), "doc_id", "text").count() == 0
 
 
+LONG = "a_long_name" * 6
+
+
+@pytest.mark.parametrize("mark", ["_" * 60 + "（姓名）", "X" * 30 + "公司", "×" * 30 + "公司", f"{{{LONG}}}", f"%({LONG})s", f"__{LONG}__", f"@@{LONG}@@", f"%{LONG}%", f"${{{LONG}}}", "{{ a | upper }}", "{{ items[0] }}", "{{ a | default: '无' }}", "{{ a" + " " * 30 + "}}", "名称:  null", "名称：\tNone", "名称:\n null"])
+def test_placeholders_of_any_length(mark):
+    assert any(residue.MARK in s for s in residue.segments(f"本页由{mark}，共3项。"))
+
+
+@pytest.mark.parametrize("unit", ["__a ", "@@a", "{a", "%(a", "${a", "{{a|", "{{ ", ": ", ":\n", "×", "_（", "X公"])
+def test_open_bounds_are_read_in_linear_time(unit):
+    import time
+
+    began = time.time()
+    residue.segments(unit * (100_000 // len(unit)))
+    residue.segments(unit + "a" * 100_000 + unit + " " * 100_000)
+    assert time.time() - began < 5
+
+
 def test_residue_with_more_residue_than_the_sample_holds(spark, documents, monkeypatch):
     monkeypatch.setattr(residue, "SAMPLE_SEGMENTS", 200)
     more = [(5000 + i, f"502 Bad Gateway {chr(0x4E00 + i)}\n网关错误{chr(0x5200 + i)}，请稍后重试。", "h", True) for i in range(200)]
