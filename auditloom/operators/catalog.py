@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +23,20 @@ def leaf_nodes(rows: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     return rows.join(found, id_col, "left")
 
 
-def keep_first(rows: DataFrame, seq_col: str, group_cols: list[str], max_rounds: int = 1000) -> DataFrame:
+def keep_first(rows: DataFrame, seq_col: str, group_cols: list[str], max_rounds: int | None = None) -> DataFrame:
     """Greedy keep-first over two keys: a row goes if an earlier kept row has its page or its (host, name).
 
     The rows that are first under both their keys among the undecided are kept and
     drop the rows that share a key with them; then the next round.  This gives what
     one pass in order gives, without a task that sees a whole host.  Rows without
-    address or name are left out.
+    address or name are left out.  Each round decides a row at least, so the rounds
+    end; a run that needs more than ``max_rounds`` of them is refused.
     """
     url, name = [*group_cols, "_u"], [*group_cols, "_h", "name"]
     todo = rows.where("url is not null and url <> '' and name is not null and name <> ''")
     todo = checkpointed(todo.select(seq_col, *group_cols, "name", urls.canonical(F.col("url")).alias("_u"), urls.host(F.col("url")).alias("_h")))
     kept = None
-    for _ in range(max_rounds):
+    for n in itertools.count(1):
         by_url = todo.groupBy(*url).agg(F.min(seq_col).alias("_fu"))
         by_name = todo.groupBy(*name).agg(F.min(seq_col).alias("_fn"))
         seen = checkpointed(todo.join(by_url, url).join(by_name, name).withColumn("_keep", (F.col(seq_col) == F.col("_fu")) & (F.col(seq_col) == F.col("_fn"))).drop("_fu", "_fn"))
@@ -43,6 +46,8 @@ def keep_first(rows: DataFrame, seq_col: str, group_cols: list[str], max_rounds:
         todo = checkpointed(rest)
         if todo.isEmpty():
             break
+        if n == max_rounds:
+            raise ValueError("rows are still undecided after max_rounds rounds")
     return rows.join(kept, seq_col, "left_semi")
 
 

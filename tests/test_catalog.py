@@ -132,3 +132,12 @@ def test_nearest_declared_like_brute_force(spark):
         if name is not None and name not in own:
             want[i] = min(own, key=lambda n: (distance(name, n), n), default=None)
     assert {r["store_id"]: r["suggestion"] for r in got.collect()} == want and want[900] == "甲乙"
+
+
+def test_keep_first_never_leaves_rows_undecided(spark):
+    # a row shares its name with the row before and its page with the row after, or the other way round
+    chain = [(i, "r", f"n{i // 2}", f"https://a.com/{(i + 1) // 2}") for i in range(6)]
+    rows = spark.createDataFrame(chain, "seq int, run_id string, name string, url string")
+    assert sorted(r["seq"] for r in catalog.keep_first(rows, "seq", ["run_id"]).collect()) == [0, 2, 4]
+    with pytest.raises(ValueError):
+        catalog.keep_first(rows, "seq", ["run_id"], max_rounds=1)
