@@ -1,163 +1,180 @@
 """Variant spellings of names: pigeonhole segment join with banded edit distance.
 
-A name is split once into the offering it denotes, and the spellings of its
-organisation: a core in CJK, a core in Latin letters, and weak forms (nicknames,
-acronyms, cut words).  Distinct cores are compared, not names: each core is cut
-into k + 1 segments, an inverted index holds them, every core looks up its
-substrings at the positions that k edits can shift a segment to, and banded edit
-distance verifies what meets there.  A core belongs to its commonest neighbour,
-a CJK core to the Latin core it is written with most often; weak forms belong to
-an organisation only where exactly one with that offering fits.
+A name is split once into the offering it denotes and the spellings of its
+organisation: its text in CJK, all its words in other scripts, and weak forms
+(nicknames, acronyms, cut words).  How offerings and kinds of organisations are
+worded is the caller's to give (``Wording``); with an empty one every word counts.
+
+Distinct spellings are compared, not names, each at its full length: each is cut
+into k + 1 segments, k growing with its length, an inverted index holds them,
+every spelling looks up its substrings at the positions that k edits can shift a
+segment to, and banded edit distance verifies what meets there.  Where a segment is
+short, and so many spellings could share it, its key also holds what the rest
+leaves when it loses up to one character, so that no list of the index grows
+with the corpus but by spellings that are alike.  A spelling belongs to its
+commonest neighbour; text in CJK to the words it is written with most often.
 
 Scale: names are made distinct before Python sees them; all joins are equi-joins
 on short keys with partial aggregates; nothing is collected or broadcast; the
-pairs are formed within one source, whose spellings are few however many rows it
-has.
+pairs of one source, which TESTDATA asks for, are spread over blocks.
 
 Defined results: null and blank names do not come out; equal names are one name;
-a name without an offering denotes the official site; a name that yields no core
-and no unambiguous weak form stays alone; names may have any length and script.
+a name without an offering denotes the default one; names without any
+organisation are one source only where their letters are the same; weak forms
+belong to an organisation only where exactly one with that offering fits; names
+may have any length and script.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.text import banded_distance, normal
+from auditloom.llm.text import banded_distance, deletions, normal
 from auditloom.session import checkpointed
 
-#: Edits between two spellings of a core.
-EDITS = 1
-#: CJK cores that one Latin core may stand beside (nicknames and slips among them) before it counts as a common word.
-COMMON = 12
-#: Offerings and how they are written (fixed values); a year is a part of the offering.
-OFFERINGS = {
-    "官网": ["官方网站", "官网", "official website", "official site"],
-    "论文库": ["论文库", "论文", "papers"],
-    "文档中心": ["文档中心", "文档", "documentation", "docs"],
-    "标准库": ["标准库", "标准", "standards"],
-    "测试报告库": ["测试报告库", "测评", "benchmarks"],
-    "培训课程": ["培训课程", "课程", "training"],
-    "代码仓库": ["代码仓库", "代码", "repository", "repo"],
-    "数据集平台": ["数据集平台", "数据集", "datasets"],
-    "专利检索平台": ["专利检索平台", "专利", "patents"],
-    "开发者社区": ["开发者社区", "社区", "forum"],
-    "行业资讯": ["行业资讯", "资讯", "news"],
-    "参数数据库": ["参数数据库", "参数库", "parameter db", "parameter database"],
-    "年度报告": ["年度报告", "年报", "annual report"],
-}
-#: Kinds of organisations and their short forms (fixed values).
-KINDS = {
-    "科技有限公司": ["科技有限公司", "科技公司", "有限公司", "公司", "科技", "科"], "网络技术": ["网络技术", "网络", "术"], "测控技术": ["测控技术", "测控"], "半导体集团": ["半导体集团", "半导体", "集团", "团"],
-    "研究院": ["研究院", "院"], "实验室": ["实验室", "室"], "产业联盟": ["产业联盟", "联盟", "盟"], "标准协会": ["标准协会", "标协", "协会", "协"], "信息中心": ["信息中心", "中心", "心"],
-    "开放社区基金会": ["开放社区基金会", "基金会", "会"], "光电": ["光电", "光"], "科技": ["科技", "技"],
-}
-LATIN_KINDS = {
-    "systems": ["systems", "sys"], "technologies": ["technologies", "tech"], "association": ["association", "assoc", "assn"], "institute": ["institute", "inst"], "networks": ["networks", "netw", "nets"],
-    "foundation": ["foundation", "fdn", "found"], "laboratories": ["laboratories", "labs", "lab"], "photonics": ["photonics", "phot"], "instruments": ["instruments", "instr"],
-}
-
-_BY_FORM = sorted(((f, o) for o, fs in OFFERINGS.items() for f in fs), key=lambda x: -len(x[0]))
-_LONG = {f for fs in OFFERINGS.values() for f in fs if not f.isascii() and len(f) > 2} | {"官网"}
-_LATIN_OFFER = re.compile("|".join(rf"(?<![a-z]){re.escape(f).replace(' ', ' ?')}(?![a-z])" for f, _ in _BY_FORM if f.isascii()))
-_OF_LATIN = {f.replace(" ", ""): o for f, o in _BY_FORM if f.isascii()}
+#: Fewest characters of a spelling in CJK and of another word that may hold an edit, and characters for each further one.
+EDIT_CJK, EDIT_WORD, MORE_EACH = 4, 6, 12
+#: Most edits of the longest spellings; up to here k + 1 segments and one undone swap lose nothing.
+MOST_EDITS = 4
+#: Letters of a word that is no mere abbreviation.
+WHOLE_WORD = 5
+#: Segments shorter than this are looked up with the rest of their spelling.
+SHORT_SEGMENT = 4
+#: Share of a word's names that the commonest CJK spelling beside it has at least; below, it is a common word.
+FAIR_SHARE = 0.2
+#: Names of a source that meet in one block at most.
+BLOCK = 1000
+
+
+@dataclass(frozen=True)
+class Wording:
+    """What a caller knows of the words in names.
+
+    ``offerings`` and ``kinds`` (of organisations) give each its ways of writing,
+    ``default`` is what a name without an offering denotes, ``dated`` are the
+    offerings whose year counts.
+    """
+
+    offerings: dict[str, list[str]] = field(default_factory=dict)
+    kinds: dict[str, list[str]] = field(default_factory=dict)
+    default: str = ""
+    dated: frozenset[str] = frozenset()
+
+    @cached_property
+    def by_form(self) -> list[tuple[str, str]]:
+        return sorted(((f, o) for o, fs in self.offerings.items() for f in fs), key=lambda x: -len(x[0]))
+
+    @cached_property
+    def words(self) -> re.Pattern | None:
+        forms = [rf"(?<![a-z]){re.escape(f)}(?![a-z])".replace(r"\ ", " ?") for f, _ in self.by_form if f.isascii()]
+        return re.compile("|".join(forms)) if forms else None
+
+    @cached_property
+    def of_word(self) -> dict[str, str]:
+        return {f.replace(" ", ""): o for f, o in self.by_form if f.isascii()}
+
+    @cached_property
+    def full_kinds(self) -> list[str]:
+        return sorted((k for k in self.kinds if not k.isascii()), key=lambda k: -len(k))
+
+    @cached_property
+    def short_kinds(self) -> dict[str, str]:
+        return {f: k for k, fs in self.kinds.items() for f in fs if not f.isascii()}
+
+    @cached_property
+    def kind_words(self) -> dict[str, str]:
+        return {f: k for k, fs in self.kinds.items() for f in [k, *fs] if f.isascii()}
+
+    def is_kind(self, word: str) -> bool:
+        return word in self.kind_words or len(word) > 5 and any(k.isascii() and abs(len(k) - len(word)) < 2 and banded_distance(word, k, 1) <= 1 for k in self.kinds)
+
+
 _YEAR = re.compile(r"(?:19|20)\d\d")
-_KIND_FORMS = sorted(((f, k) for k, fs in KINDS.items() for f in fs), key=lambda x: -len(x[0]))
-_FULL_KINDS = sorted(KINDS, key=len, reverse=True)
-_OF_LATIN_KIND = {f: k for k, fs in LATIN_KINDS.items() for f in fs}
 _CJK = re.compile(r"[㐀-鿿]+")
+_WORD = re.compile(r"([^\W_㐀-鿿]+)(\.?)")
+_NICK = re.compile(r"^(?:[老小](.)|(.)家|(.)\3)(.{0,4})$")
 
 
-def _latin_kind(word: str) -> str | None:
-    if word in _OF_LATIN_KIND:
-        return _OF_LATIN_KIND[word]
-    return next((k for k in LATIN_KINDS if len(word) > 5 and banded_distance(word, k, 1) <= 1), None)
-
-
-def _cjk_parts(text: str) -> tuple[str, str, str]:
-    """``(core, kind, nickname)`` of the organisation's CJK text."""
-    kind = ""
-    if m := re.match(r"^(?:[老小](.)|(.)家)(.?)$", text):  # a nickname with the end of the kind
-        return "", next((k for f, k in _KIND_FORMS if f == m[3]), ""), m[1] or m[2]
-    full = next((k for k in _FULL_KINDS if text.endswith(k) and len(text) > len(k)), None)
-    if full:
-        text, kind = text[: -len(full)], full
-    elif len(text) > 4 or re.match(r"^(?:[老小].|.家|(.)\1)", text):
-        form = next(((f, k) for f, k in _KIND_FORMS if text.endswith(f) and len(text) - len(f) >= 2), None)
-        if form and (len(text) - len(form[0]) <= 4 or len(form[0]) > 1):
-            text, kind = text[: -len(form[0])], form[1]
-    if len(text) == 2 and (m := re.match(r"^(?:[老小](.)|(.)家|(.)\3)$", text)):
-        return "", kind, next(c for c in m.groups() if c)
-    if len(text) < 3:
-        return "", kind, ""
-    return (text if len(text) <= 5 else text[:4]), kind, ""
-
-
-def parse(name: str) -> dict:
-    """The offering and the organisation's spellings of a name."""
+def parse(name: str, wording: Wording) -> dict:
+    """The source that a name tells and the spellings of its organisation."""
     text = unicodedata.normalize("NFKC", name)
     # words written together: a capital within, or a script change
     text = normal(re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text))
     text = re.sub(r"[·•_@|/\\]+", " ", text)
-    year = ""
-    offer = ""
-    if m := _LATIN_OFFER.search(text):
-        offer = _OF_LATIN[m[0].replace(" ", "")]
+    plain = re.sub(r"[\W_]+", "", text)
+    year = offer = ""
+    if wording.words and (m := wording.words.search(text)):
+        offer = wording.of_word[m[0].replace(" ", "")]
         text = text[: m.start()] + " " + text[m.end() :]
     if m := _YEAR.search(text):
         year = m[0]
         text = text[: m.start()] + " " + text[m.end() :]
     # a long form counts anywhere, a short one where CJK begins or ends
     if not offer:
-        for form, o in _BY_FORM:
-            if not form.isascii() and form in _LONG and form in text:
+        for form, o in wording.by_form:
+            if not form.isascii() and (len(form) > 2 or o == wording.default) and form in text:
                 offer = o
                 i = text.rindex(form)
                 text = text[:i] + " " + text[i + len(form) :]
                 break
     runs = _CJK.findall(text)
     if not offer and runs:
-        for form, o in _BY_FORM:
-            hit = next((i for i in range(len(runs) - 1, -1, -1) if not form.isascii() and runs[i].endswith(form) and not any(runs[i].endswith(k) for k in _FULL_KINDS)), None)
+        for form, o in wording.by_form:
+            hit = next((i for i in range(len(runs) - 1, -1, -1) if not form.isascii() and runs[i].endswith(form) and not any(runs[i].endswith(k) for k in wording.full_kinds)), None)
             if hit is not None:
                 offer = o
                 runs[hit] = runs[hit][: -len(form)]
                 break
-    core, kind, nick = _cjk_parts("".join(runs)) if "".join(runs) else ("", "", "")
-    latin, latin_kind, weak = "", "", ""
-    for m in re.finditer(r"([a-z]+)(\.?)", text):
+    cjk, end = "".join(runs), ""
+    if kind := next((k for k in wording.full_kinds if cjk.endswith(k) and len(cjk) > len(k)), None):
+        cjk, end = cjk[: -len(kind)], kind[-1]
+    nick = (m[1] or m[2] or m[3]) + (m[4][-1:] or end) if (m := _NICK.match(cjk)) else ""
+    words, short, weak = [], [], ""
+    for m in _WORD.finditer(text):
         word = m[1]
-        if k := _latin_kind(word):
-            latin_kind = k
-        elif m[2] or len(word) <= 4:
+        if wording.is_kind(word):
+            continue
+        if m[2] or len(word) == 1:
             weak = weak or word + m[2]
+        elif len(word) < WHOLE_WORD:
+            short.append(word)
         else:
-            end = next((k for k in _OF_LATIN_KIND if word.endswith(k) and len(word) - len(k) >= 6 and len(k) > 4), None)
-            if end:
-                latin_kind, word = _OF_LATIN_KIND[end], word[: -len(end)]
-            if len(word) > len(latin):
-                latin = word
+            end_kind = next((k for k in wording.kind_words if len(k) > 4 and word.endswith(k) and len(word) - len(k) >= EDIT_WORD), None)
+            words.append(word[: -len(end_kind)] if end_kind else word)
     return {
-        "source": f"{offer or '官网'}{year if offer == '年度报告' else ''}",
-        "cjk": core, "kind": kind, "nick": nick, "latin": latin, "latin_kind": latin_kind, "weak": weak,
+        "source": f"{offer or wording.default}{year if offer in wording.dated else ''}", "cjk": cjk, "kind": end, "nick": nick,
+        "words": sorted({*words, *short}) if words else [], "weak": "" if words else weak or "".join(short[:1]),
+        "rest": " ".join(sorted(short)) or plain,
     }
 
 
-def acronyms(core: str) -> list[str]:
-    """How a Latin core is shortened: its first consonants, first letter, first four letters."""
-    consonants = re.sub("[aeiou]", "", core)
-    return [consonants[:3], core[0] + ".", core[:4] + ".", core[:3] + "."]
+def acronyms(spelling: str) -> list[str]:
+    """How an organisation's words are shortened: initials, or of one word its first consonants, letter and letters."""
+    words = spelling.split()
+    if len(words) > 1:
+        return ["".join(w[0] for w in words)]
+    consonants = re.sub("[aeiou]", "", spelling)
+    return sorted({consonants[:3], spelling[0] + ".", spelling[:4] + ".", spelling[:3] + "."})
+
 
+def edits(spelling: str) -> int:
+    """Edits within which another spelling can be the same word, by its length."""
+    n, least = len(spelling), EDIT_CJK if _CJK.match(spelling) else EDIT_WORD
+    return 0 if n < least else min(MOST_EDITS, 1 + n // MORE_EACH)
 
-def cuts(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
-    """Begin and length of the ``edits + 1`` segments of a text of this length."""
-    n = edits + 1
+
+def cuts(length: int, k: int) -> list[tuple[int, int]]:
+    """Begin and length of the ``k + 1`` segments of a text of this length."""
+    n = k + 1
     small, more = divmod(length, n)
     out, at = [], 0
     for i in range(n):
@@ -167,119 +184,191 @@ def cuts(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(core: str) -> list[str]:
-    """Keys under which a core stands in the inverted index."""
-    return [f"{len(core)}|{j}|{core[a : a + n]}" for j, (a, n) in enumerate(cuts(len(core))) if n]
+def _keys(text: str, length: int, j: int, at: int, n: int, gone: tuple[int, ...]) -> list[str]:
+    """The keys of one segment; a long one by its digest, a short one with what the rest is when it loses ``gone`` characters."""
+    head = f"{length}|{j}|"
+    piece = text[at : at + n]
+    if n > 24:
+        return [head + hashlib.md5(piece.encode("utf-8", "surrogatepass")).hexdigest()]
+    if n >= SHORT_SEGMENT:
+        return [head + piece]
+    rest = text[:at] + "\x1f" + text[at + n :]
+    return [f"{head}{piece}|{r}" for r in sorted(deletions(rest, 1)) if len(rest) - len(r) in gone]
+
+
+def index_keys(spelling: str) -> list[str]:
+    """Keys under which a spelling stands in the inverted index."""
+    n, k = len(spelling), edits(spelling)
+    return [f"{n}|=|{spelling}"] if not k else [x for j, (a, size) in enumerate(cuts(n, k)) for x in _keys(spelling, n, j, a, size, (0, 1))]
+
 
+def _sample(length: int, cjk: bool) -> int:
+    return edits(("一" if cjk else "a") * length)
 
-def probe_keys(core: str, edits: int = EDITS) -> list[str]:
-    """Keys at which every core within ``edits`` edits is found: shifted substrings for each length.
 
-    A swap of neighbours across a border of segments changes both, so the core
-    with that pair swapped looks up too.
+def probe_keys(spelling: str) -> list[str]:
+    """Keys at which every spelling is found that lies within its own number of edits.
+
+    A segment that is found ``s`` places away has at least ``s`` edits on one side
+    and what the lengths differ beyond that on the other.  A swap of neighbours
+    across a border of segments changes both, so the spelling with that pair
+    swapped looks up too.
     """
-    forms = {core} | {core[: a - 1] + core[a] + core[a - 1] + core[a + 1 :] for a, _ in cuts(len(core))[1:] if 0 < a < len(core)}
-    out = set()
-    for form in forms:
-        for length in range(max(1, len(core) - edits), len(core) + edits + 1):
-            for j, (a, n) in enumerate(cuts(length)):
-                for b in range(max(0, a - edits), min(len(form) - n, a + edits) + 1):
-                    if n:
-                        out.add(f"{length}|{j}|{form[b : b + n]}")
+    n, cjk = len(spelling), bool(_CJK.match(spelling))
+    out = set() if edits(spelling) else {f"{n}|=|{spelling}"}
+    for length in range(max(1, n - MOST_EDITS), n + MOST_EDITS + 1):
+        k = _sample(length, cjk)
+        if abs(length - n) > k or not k:
+            continue
+        segments = cuts(length, k)
+        forms = {spelling}
+        if abs(length - n) < k:
+            borders = {a + s for a, _ in segments[1:] for s in range(1 - k, k)}
+            forms |= {spelling[: b - 1] + spelling[b] + spelling[b - 1] + spelling[b + 1 :] for b in borders if 0 < b < n}
+        for j, (a, size) in enumerate(segments):
+            for s in range(-k, k + 1):
+                if abs(s) + abs(n - length - s) <= k and 0 <= a + s <= n - size:
+                    for form in forms:
+                        out.update(_keys(form, length, j, a + s, size, (0,) if n < length else (1,)))
     return sorted(out)
 
 
-def neighbours(cores: DataFrame) -> DataFrame:
-    """``core, near``: all pairs of distinct cores (``script``, ``core``) within EDITS edits.
+def neighbours(spellings: DataFrame, wording: Wording = Wording()) -> DataFrame:
+    """``script, core, near``: all pairs of distinct spellings (``script``, ``core``) within the edits of either.
 
-    Pigeonhole: of k + 1 segments, k edits leave one unchanged, at most k places away.
+    Pigeonhole: of k + 1 segments, k edits leave one unchanged, at most k places
+    away.  A spelling in CJK that ends with a short form of a kind of organisation
+    is also near what it is without that end, and what is near that, one way
+    (``both`` is false).
     """
+    ends = sorted(wording.short_kinds, key=len)
 
     @F.pandas_udf("array<string>")
     def index(s: pd.Series) -> pd.Series:
         return s.map(index_keys)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<form:string, key:string>>")
     def probe(s: pd.Series) -> pd.Series:
-        return s.map(probe_keys)
+        def keys(x: str) -> list[dict]:
+            forms = [x[: -len(e)] for e in ends if x.endswith(e) and len(x) - len(e) >= 2]
+            forms = {f: probe_keys(f) if len(f) >= EDIT_CJK else index_keys(f) for f in forms} | {x: probe_keys(x)}
+            return [{"form": f, "key": k} for f, ks in forms.items() for k in ks]
+
+        return s.map(keys)
 
     @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([banded_distance(x, y, EDITS) <= EDITS for x, y in zip(a, b)], dtype=bool)
+    def close(a: pd.Series, b: pd.Series, own: pd.Series) -> pd.Series:
+        most = [edits(y) if o or len(x) >= EDIT_CJK else 0 for x, y, o in zip(a, b, own)]
+        return pd.Series([banded_distance(x, y, k) <= k for x, y, k in zip(a, b, most)], dtype=bool)
+
+    indexed = spellings.select("script", F.col("core").alias("near"), F.explode(index("core")).alias("key"))
+    probes = spellings.select("script", "core", F.explode(probe("core")).alias("_p")).select("script", "core", F.col("_p.form").alias("form"), F.col("_p.key").alias("key"))
+    met = probes.join(indexed, ["script", "key"]).where("core <> near").select("script", "core", "form", "near").distinct()
+    met = met.withColumn("both", F.col("form") == F.col("core"))
+    return met.where(close("form", "near", "both")).groupBy("script", "core", "near").agg(F.max("both").alias("both"))
 
-    indexed = cores.select("script", F.col("core").alias("near"), F.explode(index("core")).alias("key"))
-    probes = cores.select("script", "core", F.explode(probe("core")).alias("key"))
-    met = probes.join(indexed, ["script", "key"]).where("core <> near").select("script", "core", "near").distinct()
-    return met.where(close("core", "near"))
 
+def hubs(counted: DataFrame, wording: Wording) -> DataFrame:
+    """``script, core, hub``: every spelling with the one it belongs to, from ``script, core, n``.
+
+    That is the spelling around it, itself included, that has most names around:
+    slips of one spelling lie around it, not around each other.  One that ends with
+    a short form of a kind belongs to what is left without it.
+    """
+    text = F.col("core")
+    cut = F.array(*[F.when(text.endswith(e) & (F.length(text) >= len(e) + EDIT_CJK), F.substring(text, F.lit(1), F.length(text) - len(e))) for e in sorted(wording.short_kinds)], F.lit(None).cast("string"))
+    bare = counted.where("script = 'c'").select("script", F.explode(F.filter(cut, lambda c: c.isNotNull())).alias("core"), F.lit(0).cast("bigint").alias("n"))
+    counted = checkpointed(counted.unionByName(bare).groupBy("script", "core").agg(F.sum("n").alias("n")))
+    near = checkpointed(neighbours(counted.select("script", "core"), wording))
+    back = near.select("script", F.col("near").alias("core"), F.col("core").alias("near"), "both")
+    self = counted.select("script", "core", F.col("core").alias("near"), F.lit(True).alias("both"))
+    around = near.unionByName(back).unionByName(self).select("script", "core", "near").distinct()
+    weight = around.join(counted.withColumnRenamed("core", "near"), ["script", "near"]).groupBy("script", "core").agg(F.sum("n").alias("w"), F.max(F.when(F.col("core") == F.col("near"), F.col("n"))).alias("n"))
+    choice = near.unionByName(back.where("both")).unionByName(self)
+    sized = choice.join(weight.withColumnRenamed("core", "near"), ["script", "near"])
+    hub = checkpointed(sized.groupBy("script", "core").agg(F.max(F.struct(~F.col("both"), "w", "n", "near")).getField("near").alias("hub")))
+    above = hub.select("script", F.col("core").alias("hub"), F.col("hub").alias("top"))
+    return hub.join(above, ["script", "hub"]).select("script", "core", F.col("top").alias("hub"))
 
-def parsed_names(names: DataFrame, name_col: str) -> DataFrame:
+
+def parsed_names(names: DataFrame, name_col: str, wording: Wording) -> DataFrame:
     """Every distinct name that is not blank, with its parts."""
-    fields = "source string, cjk string, kind string, nick string, latin string, latin_kind string, weak string"
+    schema = "name string, source string, cjk string, kind string, nick string, words array<string>, weak string, rest string"
+    cols = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = pd.DataFrame([parse(n) for n in b["name"]], columns=[f.split()[0] for f in fields.split(", ")])
-            parts.insert(0, "name", b["name"].to_numpy())
-            yield parts
+            yield pd.DataFrame([{"name": n} | parse(n, wording) for n in b["name"]], columns=cols)
 
     distinct = names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
     filled = distinct.where(F.regexp_replace("name", r"[\s\x{00A0}\x{2000}-\x{200F}\x{3000}\x{FEFF}]+", "") != "")
-    return filled.mapInPandas(run, "name string, " + fields)
-
-
-def link_names(names: DataFrame, name_col: str) -> DataFrame:
-    """``name, organisation, source`` of every name; null organisation where none can be told."""
-    parts = checkpointed(parsed_names(names, name_col))
-    forms = parts.select("name", F.explode(F.array(F.struct(F.lit("c").alias("script"), F.col("cjk").alias("core")), F.struct(F.lit("l").alias("script"), F.col("latin").alias("core")))).alias("_f")).select("name", "_f.*").where("core <> ''")
-    counted = checkpointed(forms.groupBy("script", "core").agg(F.count("*").alias("n")))
-    near = checkpointed(neighbours(counted.select("script", "core")))
-    # every core belongs to the core around it, itself included, that has most names around: slips of
-    # one core lie around it, not around each other
-    around = near.unionByName(counted.select("script", "core", F.col("core").alias("near")))
-    weight = around.join(counted.withColumnRenamed("core", "near"), ["script", "near"]).groupBy("script", "core").agg(F.sum("n").alias("w"), F.max(F.when(F.col("core") == F.col("near"), F.col("n"))).alias("n"))
-    sized = around.join(weight.withColumnRenamed("core", "near"), ["script", "near"])
-    hub = sized.groupBy("script", "core").agg(F.max(F.struct("w", "n", "near")).getField("near").alias("hub"))
-    hub = checkpointed(hub)
-    above = hub.select("script", F.col("core").alias("hub"), F.col("hub").alias("top"))
-    hub = hub.join(above, ["script", "hub"]).select("script", "core", F.col("top").alias("hub"))
-    c, latin = (hub.where(F.col("script") == s).select(F.col("core").alias(k), F.col("hub").alias(f"{k}_hub")) for s, k in (("c", "cjk"), ("l", "latin")))
-    whole = checkpointed(parts.join(c, "cjk", "left").join(latin, "latin", "left"))
-    # a CJK core and the Latin core it is written with most often are one organisation
-    together = whole.where("cjk_hub is not null and latin_hub is not null").groupBy("cjk_hub", "latin_hub").agg(F.count("*").alias("n"))
-    # a Latin word beside many CJK cores is a common word, not a name
-    common = together.groupBy("latin_hub").agg(F.count("*").alias("k")).where(F.col("k") > COMMON).select("latin_hub")
-    whole = whole.join(common.withColumn("is_common", F.lit(True)), "latin_hub", "left").withColumn("latin_hub", F.when(F.col("is_common").isNull(), F.col("latin_hub"))).drop("is_common")
-    together = together.join(common, "latin_hub", "left_anti")
-    partner = together.groupBy("cjk_hub").agg(F.max(F.struct("n", "latin_hub")).getField("latin_hub").alias("partner"))
-    whole = whole.join(partner, "cjk_hub", "left")
-    whole = whole.withColumn("organisation", F.coalesce("latin_hub", "partner", "cjk_hub"))
-    whole = checkpointed(whole)
+    return filled.mapInPandas(run, schema)
+
+
+def _main(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """``key, latin``: what a key stands with most often (``n``), if that has the share."""
+    best = F.max(F.struct("n", "latin"))
+    return rows.groupBy(key).agg(best.alias("_b"), F.sum("n").alias("_n")).where(F.col("_b.n") >= share * F.col("_n")).select(key, F.col("_b.latin").alias("latin"))
+
+
+def link_names(names: DataFrame, name_col: str, wording: Wording = Wording()) -> DataFrame:
+    """``name, organisation, source`` of every name; names with both equal are one source."""
+    parts = checkpointed(parsed_names(names, name_col, wording))
+    spelt = parts.select("name", F.explode(F.concat(F.array(F.struct(F.lit("c").alias("script"), F.col("cjk").alias("core"))), F.transform("words", lambda w: F.struct(F.lit("w").alias("script"), w.alias("core"))))).alias("_f"))
+    spelt = spelt.select("name", "_f.*").where("core <> ''")
+    hub = checkpointed(hubs(spelt.groupBy("script", "core").agg(F.count("*").alias("n")), wording))
+    # the words of a name as one key, whatever their order
+    latin = spelt.where("script = 'w'").join(hub, ["script", "core"]).groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("hub")), " ").alias("latin"))
+    of_cjk = hub.where("script = 'c'").select(F.col("core").alias("cjk"), F.col("hub").alias("cjk_hub"))
+    whole = checkpointed(parts.join(of_cjk, "cjk", "left").join(latin, "name", "left"))
+
+    beside = checkpointed(whole.where("cjk_hub is not null and latin is not null").groupBy("cjk", "cjk_hub", "latin").agg(F.count("*").alias("n")))
+    # a word beside many spellings in CJK, none of which has a fair share of it, is a common word
+    each = beside.groupBy("latin", "cjk_hub").agg(F.sum("n").alias("n"))
+    common = each.groupBy("latin").agg(F.max("n").alias("_m"), F.sum("n").alias("_n")).where(F.col("_m") < FAIR_SHARE * F.col("_n")).select("latin")
+    beside = beside.join(common, "latin", "left_anti")
+    own = _main(beside, "cjk", 0.5).withColumnRenamed("latin", "own")
+    other = _main(beside.groupBy("cjk_hub", "latin").agg(F.sum("n").alias("n")), "cjk_hub", 1 / 3).withColumnRenamed("latin", "partner")
+    whole = whole.join(common.withColumn("is_common", F.lit(True)), "latin", "left").join(own, "cjk", "left").join(other, "cjk_hub", "left")
+    word = F.coalesce(F.when(F.col("is_common").isNull(), F.col("latin")), "own", "partner")
+    organisation = F.coalesce(F.concat(F.lit("w:"), word), F.when(F.col("nick") == "", F.concat(F.lit("c:"), "cjk_hub")), F.concat(F.lit("w:"), "latin"))
+    whole = checkpointed(whole.withColumn("organisation", organisation).select("name", "source", "organisation", "cjk_hub", "kind", "nick", "weak", "rest"))
     known = whole.where("organisation is not null")
 
     @F.pandas_udf("array<string>")
-    def shortened(core: pd.Series) -> pd.Series:
-        return core.map(acronyms)
+    def shortened(spelling: pd.Series) -> pd.Series:
+        return spelling.map(acronyms)
 
-    strong = known.where("latin_hub is not null").select("organisation", "source", F.explode(shortened("latin_hub")).alias("key"))
-    nicks = known.where("cjk_hub is not null and kind <> ''").select("organisation", "source", F.explode(F.array_distinct(F.split("cjk_hub", ""))).alias("_c"), "kind").select("organisation", "source", F.concat_ws("|", "_c", "kind").alias("key"))
+    strong = known.where(F.col("organisation").startswith("w:")).select("organisation", "source").distinct().select("organisation", "source", F.explode(shortened(F.substring("organisation", 3, 1 << 30))).alias("key"))
+    nicks = known.where("cjk_hub is not null and kind <> ''").select("organisation", "source", "kind", F.explode(F.array_distinct(F.split("cjk_hub", ""))).alias("_c")).select("organisation", "source", F.concat("_c", "kind").alias("key"))
     only = strong.unionByName(nicks).groupBy("source", "key").agg(F.min("organisation").alias("one"), F.max("organisation").alias("other")).where("one = other")
-    loose = whole.where("organisation is null").withColumn("key", F.when(F.col("weak") != "", F.col("weak")).when((F.col("nick") != "") & (F.col("kind") != ""), F.concat_ws("|", "nick", "kind")))
-    loose = loose.join(only.select("source", "key", "one"), ["source", "key"], "left").select("name", F.col("one").alias("organisation"), "source")
+    loose = whole.where("organisation is null").withColumn("key", F.when(F.col("weak") != "", F.col("weak")).when(F.length("nick") > 1, F.col("nick")))
+    alone = F.coalesce(F.concat(F.lit("c:"), "cjk_hub"), F.when(F.col("rest") != "", F.concat(F.lit("="), "rest")), F.concat(F.lit("?"), "name"))
+    loose = loose.join(only.select("source", "key", "one"), ["source", "key"], "left").select("name", F.coalesce("one", alone).alias("organisation"), "source")
     return known.select("name", "organisation", "source").unionByName(loose)
 
 
-def variant_pairs(names: DataFrame, name_col: str) -> DataFrame:
-    """``name_a, name_b``: all pairs of different spellings of one source."""
-    linked = checkpointed(link_names(names, name_col).where("organisation is not null"))
-    a = linked.withColumnRenamed("name", "name_a")
-    b = linked.withColumnRenamed("name", "name_b")
-    return a.join(b, ["organisation", "source"]).where("name_a < name_b").select("name_a", "name_b")
+def _bucket(n: Column) -> Column:
+    return F.pmod(F.xxhash64("name"), n).cast("int")
+
+
+def variant_pairs(names: DataFrame, name_col: str, wording: Wording = Wording()) -> DataFrame:
+    """``name_a, name_b``: all pairs of different spellings of one source.
+
+    The names of a large source are dealt to buckets, and each two buckets meet in
+    a block of their own.
+    """
+    linked = checkpointed(link_names(names, name_col, wording))
+    size = linked.groupBy("organisation", "source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = linked.join(size, ["organisation", "source"]).withColumn("_b", _bucket(F.col("_k")))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.struct(F.least(i, "_b").alias("i"), F.greatest(i, "_b").alias("j")))
+    dealt = dealt.select("organisation", "source", "name", F.explode(blocks).alias("_at")).select("organisation", "source", "name", "_at.i", "_at.j")
+    a, b = dealt.withColumnRenamed("name", "name_a"), dealt.withColumnRenamed("name", "name_b")
+    return a.join(b, ["organisation", "source", "i", "j"]).where("name_a < name_b").select("name_a", "name_b")
 
 
-def variant_classes(names: DataFrame, name_col: str) -> DataFrame:
+def variant_classes(names: DataFrame, name_col: str, wording: Wording = Wording()) -> DataFrame:
     """``name, class_id, n_links``: the class of each name (its smallest spelling) and its links."""
-    linked = link_names(names, name_col)
-    key = [F.coalesce("organisation", F.concat(F.lit("\x1f"), "name")), F.col("source")]
-    w = Window.partitionBy(*key)
-    return linked.select("name", F.min("name").over(w).alias("class_id"), (F.count("*").over(w) - 1).alias("n_links"))
+    linked = checkpointed(link_names(names, name_col, wording))
+    classes = linked.groupBy("organisation", "source").agg(F.min("name").alias("class_id"), (F.count("*") - 1).alias("n_links"))
+    return linked.join(classes, ["organisation", "source"]).select("name", "class_id", "n_links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical, copies, garbled, names, packing, residue, tokens
+from auditloom.llm import canonical, copies, garbled, names, packing, residue, tables, tokens
 from auditloom.session import table
 
 
@@ -16,12 +16,12 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.variant_pairs(_names(spark, sf_dir), "name")
+    return names.variant_pairs(_names(spark, sf_dir), "name", tables.NAMES)
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name with its class and its number of links."""
-    return names.variant_classes(_names(spark, sf_dir), "name")
+    return names.variant_classes(_names(spark, sf_dir), "name", tables.NAMES)
 
 
 def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str] | None]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from os.path import commonprefix
 
 #: Traditional characters and their simplified forms (fixed values).
 TRADITIONAL = str.maketrans(
@@ -25,32 +26,38 @@ def normal(text: str) -> str:
 def banded_distance(a: str, b: str, most: int) -> int:
     """Edit distance (insertion, deletion, substitution, swap of neighbours) or ``most + 1`` if it is larger.
 
-    Only the ``2 * most + 1`` diagonals that can matter are computed.
+    Only the ``2 * most + 1`` diagonals that can matter are computed and held, so
+    time and memory grow with length times ``most``.
     """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
-        return max(len(a), len(b)) if max(len(a), len(b)) <= most else most + 1
-    big = most + 1
-    before, row = [], [j if j <= most else big for j in range(len(b) + 1)]
+        return min(max(len(a), len(b)), most + 1)
+    big, width = most + 1, 2 * most + 1
+    # cell d of row i is the distance of a[:i] and b[:i + d - most]
+    two, before = [big] * width, [big] * most + list(range(most + 1))
     for i in range(1, len(a) + 1):
-        two, before, row = before, row, [big] * (len(b) + 1)
-        if i <= most:
-            row[0] = i
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                best = min(best, two[j - 2] + 1)
-            row[j] = min(best, big)
+        row = [big] * width
+        for d in range(width):
+            j = i + d - most
+            if j < 0 or j > len(b):
+                continue
+            best = before[d + 1] + 1 if d + 1 < width else big
+            if j:
+                best = min(best, before[d] + (a[i - 1] != b[j - 1]), row[d - 1] + 1 if d else big)
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    best = min(best, two[d] + 1)
+            row[d] = min(best, big)
         if min(row) > most:
             return big
-    return row[-1]
+        two, before = before, row
+    return before[len(b) - len(a) + most]
 
 
 def deletions(text: str, most: int) -> set[str]:

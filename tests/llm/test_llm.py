@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical, copies, garbled, names, packing, residue, text, tokens
+from auditloom.llm import canonical, copies, garbled, names, packing, residue, tables, text, tokens
 from auditloom.llm import queries as llm_queries
 
 # normal forms and distances
@@ -34,9 +34,22 @@ def test_banded_distance(a, b, most):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abcd", min_size=2, max_size=9), st.text("abcd", min_size=2, max_size=9))
-def test_pigeonhole_loses_nothing(a, b):
-    if plain_distance(a, b) <= names.EDITS:
+@given(st.sampled_from(["abcd", "一二三四"]).flatmap(lambda a: st.tuples(st.text(a, min_size=2, max_size=30), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 29), st.sampled_from(a)), max_size=3))))
+def test_pigeonhole_loses_nothing(case):
+    a, steps = case
+    b = list(a)
+    for kind, at, c in steps:
+        at = at % max(1, len(b))
+        if kind == 0:
+            b[at : at + 1] = [c]
+        elif kind == 1:
+            b.insert(at, c)
+        elif kind == 2 and len(b) > 1:
+            b.pop(at)
+        else:
+            b[at : at + 2] = b[at : at + 2][::-1]
+    b = "".join(b)
+    if plain_distance(a, b) <= names.edits(b):
         assert set(names.probe_keys(a)) & set(names.index_keys(b))
 
 
@@ -44,12 +57,25 @@ def test_pigeonhole_loses_nothing(a, b):
 
 
 def test_parse_names():
-    p = names.parse("智通龙青實驗室 Jamusiruvo Association 專利檢索平台")
-    assert (p["source"], p["cjk"], p["latin"], p["kind"]) == ("专利检索平台", "智通龙青", "jamusiruvo", "实验室")
-    assert names.parse("Annual Report 2024 - 盛川捷森标协")["source"] == "年度报告2024"
-    assert names.parse("2023年报@盛川捷森")["source"] == "年度报告2023"
-    assert names.parse("盛川捷森标准协会")["source"] == "官网" and names.parse("")["source"] == "官网"
-    assert names.parse("老方实验室 Zamifiditi Photonics 数据集平台")["nick"] == "方"
+    def parse(n):
+        return names.parse(n, tables.NAMES)
+
+    p = parse("智通龙青實驗室 Jamusiruvo Association 專利檢索平台")
+    assert (p["source"], p["cjk"], p["words"], p["kind"]) == ("专利检索平台", "智通龙青", ["jamusiruvo"], "室")
+    assert parse("Annual Report 2024 - 盛川捷森标协")["source"] == "年度报告2024"
+    assert parse("2023年报@盛川捷森")["source"] == "年度报告2023"
+    assert parse("盛川捷森标准协会")["source"] == "官网" and parse("")["source"] == "官网"
+    assert parse("老方实验室 Zamifiditi Photonics 数据集平台")["nick"] == "方室"
+    assert parse("Star, Northern docs")["words"] == ["northern", "star"]
+    assert names.parse("Northern Star docs", names.Wording())["words"] == ["docs", "northern", "star"]
+
+
+def linked(spark, groups, rows=None):
+    df = spark.createDataFrame([(n, "x", "y") for n in rows or [n for g in groups for n in g]], "name string, core string, organisation string")
+    want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+    got = {(r["name_a"], r["name_b"]) for r in names.variant_pairs(df, "name", tables.NAMES).collect()}
+    assert got == want, (got - want, want - got)
+    return df
 
 
 def test_variant_pairs(spark):
@@ -58,22 +84,45 @@ def test_variant_pairs(spark):
         ["盛川捷森标准协会 Pamolikoka Networks 年度报告2024", "Pamolikoka 2024年报"], ["盛川捷森标准协会 Pamolikoka Networks 年度报告2025"],
         ["Nagotufupo Foundation", "Nagotufupo Foundation 官网", "nagotufupo_fdn"],
     ]
-    rows = [n for g in groups for n in g] + [None, "", "  ", "？", groups[0][0]]
-    df = spark.createDataFrame([(n, "x", "y") for n in rows], "name string, core string, organisation string")
-    want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
-    assert {(r["name_a"], r["name_b"]) for r in names.variant_pairs(df, "name").collect()} == want
-    links = {r["name"]: (r["class_id"], r["n_links"]) for r in names.variant_classes(df, "name").collect()}
+    df = linked(spark, groups, [n for g in groups for n in g] + [None, "", "  ", "？", groups[0][0]])
+    links = {r["name"]: (r["class_id"], r["n_links"]) for r in names.variant_classes(df, "name", tables.NAMES).collect()}
     assert links[groups[1][1]][1] == 1 and links["？"][1] == 0 and len(links) == 12
     assert names.variant_pairs(df.limit(0), "name").count() == 0
-    assert names.variant_pairs(spark.createDataFrame([("长" * 100_000,), ("长" * 100_000 + "官网",)], "name string"), "name").count() == 1
+    assert names.variant_pairs(spark.createDataFrame([("长" * 100_000,), ("长" * 100_000 + "官网",), ("长" * 99_999 + "短",)], "name string"), "name", tables.NAMES).count() == 3
+
+
+def test_whole_names_of_any_length(spark):
+    linked(
+        spark,
+        [
+            ["中国移动通信论文库", "中国移动通信 论文"], ["中国移动互联网论文库"], ["中国科学院自动化研究院"], ["中国科学院计算技术研究院"], ["华为官网", "华为官方网站"], ["百度代码仓库", "百度代码"], ["百事代码"],
+            ["Ovis docs", "Ovis documentation"], ["Northern Light docs", "docs: light, northern"], ["Northern Star docs"], ["Light docs"], ["Night docs"],
+            ["格迅思禾基金会论文库", "格迅思禾论文", "格迅思禾会论文库"], ["官网", " 官网。"], ["？"], ["?"],
+            ["International Electrotechnical Commission papers", "internationl electrotechnical comission 论文"],
+        ],
+    )
+
+
+def test_common_words_link_nothing(spark):
+    organisations = ["盛川捷森", "智通龙青", "瑞河玉远", "海星江元", "拓龙恒顺", "东湖万启", "麟江川恒"]
+    linked(spark, [[f"{o} Photonica 论文库", f"{o}论文", f"Photonica {o} 论文"] for o in organisations] + [["Photonica 论文库", "Photonica papers"]])
+
+
+def test_nicknames_and_acronyms_of_one_organisation(spark):
+    linked(spark, [["盛川捷森研究院 Pamolikoka Systems 论文库", "PML 论文", "老森院论文库"], ["智通龙青实验室 Jamusiruvo Systems 论文库"], ["XQZ 论文"], ["老天院论文库"]])
+
+
+def test_blocks_of_a_large_source(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 7)
+    linked(spark, [[f"盛川捷森{' ' * i}论文库" for i in range(40)], ["智通龙青论文", "智通龙青论文库"]])
 
 
 def test_neighbours_like_brute_force(spark):
     rng = random.Random(3)
-    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(150)})
-    df = spark.createDataFrame([("l", w) for w in words], "script string, core string")
+    words = sorted({"".join(rng.choice(a) for _ in range(rng.randint(2, 13))) for a in ("ab", "一二三") for _ in range(120)})
+    df = spark.createDataFrame([("w", w) for w in words], "script string, core string")
     got = {(r["core"], r["near"]) for r in names.neighbours(df).collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and plain_distance(a, b) <= names.EDITS}
+    assert got == {(a, b) for a in words for b in words if a != b and plain_distance(a, b) <= names.edits(b)}
 
 
 # p4
