@@ -261,6 +261,8 @@ def neighbours(spellings: DataFrame, wording: Wording = Wording()) -> DataFrame:
         most = [edits(y) if o or len(x) >= EDIT_CJK else 0 for x, y, o in zip(a, b, own)]
         return pd.Series([banded_distance(x, y, k) <= k for x, y, k in zip(a, b, most)], dtype=bool)
 
+    # few bytes, much work: as many tasks as any shuffle has
+    spellings = spellings.repartition(int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core")
     indexed = spellings.select("script", F.col("core").alias("near"), F.explode(index("core")).alias("key"))
     probes = spellings.select("script", "core", F.explode(probe("core")).alias("_p")).select("script", "core", F.col("_p.form").alias("form"), F.col("_p.key").alias("key"))
     met = probes.join(indexed, ["script", "key"]).where("core <> near").select("script", "core", "form", "near").distinct()

@@ -105,7 +105,7 @@ def test_whole_names_of_any_length(spark):
 
 def test_common_words_link_nothing(spark):
     organisations = ["盛川捷森", "智通龙青", "瑞河玉远", "海星江元", "拓龙恒顺", "东湖万启", "麟江川恒"]
-    linked(spark, [[f"{o} Photonica 论文库", f"{o}论文", f"Photonica {o} 论文"] for o in organisations] + [["Photonica 论文库", "Photonica papers"]])
+    linked(spark, [[f"{o} Solarium 论文库", f"{o}论文", f"Solarium {o} 论文"] for o in organisations] + [["Solarium 论文库", "Solarium papers"]])
 
 
 def test_nicknames_and_acronyms_of_one_organisation(spark):
