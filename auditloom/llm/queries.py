@@ -24,22 +24,31 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_classes(_names(spark, sf_dir), "name", tables.NAMES)
 
 
-def _source_types(spark: SparkSession, sf_dir: str) -> dict[str, list[str] | None]:
-    """The reference list (fixed) with the words of each entry; 其他 is an entry only by its own name."""
-    names = [r["type_name"] for r in table(spark, sf_dir, "source_type_list").orderBy("type_id").select("type_name").collect()]
-    return {n: None if n == "其他" else canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in names}
+def _source_types(spark: SparkSession, sf_dir: str, also: dict[str, list[str]]) -> list[canonical.Entry]:
+    """The reference list (fixed); 其他 is an entry only by its own name."""
+    rows = table(spark, sf_dir, "source_type_list").orderBy("type_id").select("type_name", "scope_note").collect()
+    return [canonical.Entry(r["type_name"], r["scope_note"] or "", tuple(also.get(r["type_name"], ())), r["type_name"] == "其他") for r in rows]
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf_dir: str, also: dict[str, list[str]]) -> DataFrame:
     rows = table(spark, sf_dir, "store").where("type in ('source', 'knowledge')").select("store_id", "source_type_raw", "source_type")
     fallback = F.col("source_type") == "其他"
-    return canonical.map_rows(rows, "store_id", "source_type_raw", _source_types(spark, sf_dir), "source_type", fallback).withColumnRenamed("entry", "type_name")
+    return canonical.map_rows(rows, "store_id", "source_type_raw", _source_types(spark, sf_dir, also), "source_type", fallback).withColumnRenamed("entry", "type_name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir, tables.SOURCE_TYPES)
+
+
+def p4_unaided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the reference list and the rows alone, without a table of other words."""
+    return _mapped(spark, sf_dir, {})
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct free entry with its entry of the list, or '' if it is unmatched, and its score."""
     rows = table(spark, sf_dir, "store").where("type in ('source', 'knowledge')").select("source_type_raw")
-    return canonical.map_values(rows, "source_type_raw", _source_types(spark, sf_dir)).withColumnRenamed("entry", "type_name")
+    return canonical.map_values(rows, "source_type_raw", _source_types(spark, sf_dir, tables.SOURCE_TYPES)).withColumnRenamed("entry", "type_name")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_classes": p2_classes,
         "p4_found": p4_found,
+        "p4_unaided": p4_unaided,
         "p4_values": p4_values,
         "p5_found": p5_found,
         "p5_restored": p5_restored,

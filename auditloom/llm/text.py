@@ -11,8 +11,6 @@ TRADITIONAL = str.maketrans(
     "報庫數測據術標網會區開業電論專檢絡協聯導體檔實驗團產試參準資訊發訓課碼倉庫導學獻聞項頁門戶題誌規範書證機構與層級單華東龍馬鳳麗",
     "报库数测据术标网会区开业电论专检络协联导体档实验团产试参准资讯发训课码仓库导学献闻项页门户题志规范书证机构与层级单华东龙马凤丽",
 )
-#: Characters that are typed for others: alike in sound or shape (fixed values), wrong and right.
-CONFUSED = dict(zip("裤积谈伦砖抱穷舒问驱挡朮归淮罔贞玛科叫删顷际", "库集坛论专报究书闻区档术规准网页码课教册项标"))
 
 _INVISIBLE = re.compile(r"[­᠎​-‏ -‮⁠-⁤﻿]")
 

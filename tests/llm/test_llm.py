@@ -127,27 +127,61 @@ def test_neighbours_like_brute_force(spark):
 
 # p4
 
-ENTRIES = {n: None if n == "其他" else canonical.SOURCE_TYPE_PHRASES.get(n, []) for n in ["技术文档", "研究报告", "标准规范", "技术社区", "代码仓库", "官方网站", "专利文献", "数据集", "学术论文", "数据库", "新闻资讯", "课程教程", "其他"]}
+LIST = [
+    ("技术文档", "手册、指南、接口说明"), ("研究报告", "白皮书、调研、市场与评测分析"), ("标准规范", ""), ("技术社区", "论坛、问答、讨论组"), ("代码仓库", ""), ("官方网站", ""), ("专利文献", ""), ("数据集", "语料"), ("学术论文", ""), ("数据库", ""),
+    ("新闻资讯", "新闻、快讯、媒体报道"), ("课程教程", ""), ("其他", "以上都不适用"),
+]
+ENTRIES = [canonical.Entry(n, note, tuple(tables.SOURCE_TYPES.get(n, ())), n == "其他") for n, note in LIST]
+BARE = [canonical.Entry(n, note, (), n == "其他") for n, note in LIST]
 
 
 @pytest.fixture(scope="module")
 def mapped(spark):
-    def run(values):
+    def run(values, entries=ENTRIES, hints=None):
         df = spark.createDataFrame([(v, "x") for v in values], "raw string, entry string")
-        return {r["raw"]: r["entry"] for r in canonical.map_values(df, "raw", ENTRIES).collect()}
+        told = spark.createDataFrame(hints, "raw string, entry string, n bigint") if hints else None
+        return {r["raw"]: r["entry"] for r in canonical.map_values(df, "raw", entries, told).collect()}
 
     return run
 
 
 def test_map_values(mapped):
     want = {
-        "研穷报告": "研究报告", "究研报告": "研究报告", "ｗｈｉｔｅ ｐａｐｅｒ": "研究报告", "whitep aper": "研究报告", "第三方行业研报": "研究报告", "白 皮书（PDF）": "研究报告", "砖利": "专利文献", "数据裤": "数据库", "数据积": "数据集",
-        "论谈": "技术社区", "伦文": "学术论文", "YANJIU-BAOGAO": "研究报告", "repos": "代码仓库", "官罔": "官方网站", "叫程": "课程教程", "nws": "新闻资讯", "開放數據集": "数据集",
-        "登录页": "", "厂商价格表": "", "job board": "", "n/a": "", "？": "", "地图": "", "其它": "", "其他资料": "", "x" * 50_000: "",
+        "研穷报告": "研究报告", "究研报告": "研究报告", "ｗｈｉｔｅ ｐａｐｅｒ": "研究报告", "whitep aper": "研究报告", "第三方行业研报": "研究报告", "白 皮书（PDF）": "研究报告", "数据积": "数据集",
+        "YANJIU-BAOGAO": "研究报告", "repos": "代码仓库", "nws": "新闻资讯", "開放數據集": "数据集", "报告（研究）": "研究报告",
+        "登录页": "", "厂商价格表": "", "job board": "", "n/a": "", "？": "", "地图": "", "其它": "", "其他资料": "", "x" * 50_000: "", "".join(map(chr, range(0x4E00, 0x4E00 + 2000))): "",
     }
     assert mapped(want) == want
 
 
+def test_the_list_alone(mapped):
+    want = {"研穷报告": "研究报告", "手册": "技术文档", "市场分析": "研究报告", "评测分析": "研究报告", "快讯 *": "新闻资讯", "讨论组": "技术社区", "white paper": ""}
+    assert mapped(want, BARE) == want
+
+
+def test_words_and_ties_are_learned_from_the_rows(mapped):
+    hints = [("white paper", "研究报告", 8), ("white paper", "数据集", 3), ("数据裤", "数据库", 3), ("数据裤", "数据集", 1), ("砖利", "专利文献", 1), ("job board", "数据集", 2), ("job board", "数据库", 2), ("job board", "官方网站", 2)]
+    want = {"white paper": "研究报告", "White-Paper": "研究报告", "whte paper": "研究报告", "数据裤": "数据库", "job board": ""}
+    assert mapped(want, BARE, hints) == want
+    assert mapped(["砖利"], hints=hints) == {"砖利": "专利文献"} and mapped(["砖利"]) == {"砖利": ""}
+
+
+def test_affixes_are_learned(spark):
+    words = ["研究报告", "数据集", "技术社区", "官方网站", "代码仓库", "学术论文"]
+    cores = spark.createDataFrame([(w,) for w in words + [f"国内{w}" for w in words] + [f"{w}英文版" for w in words] + ["国内研究报告英文版", "研究数据集"]], "core string")
+    assert {tuple(r) for r in canonical._affixes(cores).collect()} == {("before", "国内"), ("behind", "英文版")}
+    got = {(r["bare"], r["cut"]) for r in canonical._stripped(cores).where("core = '国内研究报告英文版'").collect()}
+    assert got == {("研究报告英文版", 2), ("国内研究报告", 0), ("研究报告", 2)}
+
+
+def test_vocabulary_weighs_by_idf():
+    rows = canonical.vocabulary([canonical.Entry("a", "", ("研究报告", "调研报告", "报告", "调研")), canonical.Entry("b", "研究")])
+    weights = {t: w for e, n, t, _, w in rows if n == 3}
+    assert set(weights) == {"研究", "报告"} and sum(weights.values()) == pytest.approx(1)
+    own = {t: w for _, n, t, _, w in rows if n == 5}
+    assert set(own) == {"调研", "报告"} and own["调研"] > own["报告"]
+
+
 def test_map_rows(spark):
     df = spark.createDataFrame([(1, "白皮书", "其他"), (2, "白皮书", None), (3, None, None), (4, " 　", ""), (5, "研究报告", "研究报告"), (6, "待定", "其他")], "id int, raw string, own string")
     got = canonical.map_rows(df, "id", "raw", ENTRIES, "own", F.col("own") == "其他").collect()
