@@ -2,20 +2,24 @@
 
 Texts are cut into segments (lines and sentences).  A regularised logistic model
 over hashed character n-grams, the length and title features scores every
-segment.  Its labels are weak: phrases and response statuses name the residue of
-some pages, and a segment that mostly stands on such pages is residue too, so
-wordings without a known phrase are learned from their neighbours.  It is fitted
-on a bounded sample of labelled segments and validated on hosts it has not seen.
+segment, and its score alone decides.  Its labels are weak: response statuses and
+phrases name the residue of some pages, and a segment that mostly stands on such
+pages is residue too, so wordings without a known phrase are learned from their
+neighbours.  It is fitted on a bounded sample of labelled segments and validated
+on hosts it has not seen, against the statuses alone, of which neither phrases
+nor features know anything (digits are masked).
 
 A document is a case if most of its body (menus and footers aside) is residue, or
-if a placeholder stands in its own wording where a value should be.  Placeholders
-are replaced by one symbol before scoring, so the model learns the sentences that
-speak about placeholders; an exact check of the syntax and of code fences and
-quotes follows.
+if a segment with a placeholder is.  Placeholders, found by a grammar of their
+delimiters, are replaced by one symbol before scoring, so the model tells by the
+words around it whether one stands for a value or is spoken about; code fences
+and quoted code are taken out.
 
-Scale: the fit takes ``SAMPLE_SEGMENTS`` segments of ``SAMPLE_DOCUMENTS``
-documents into one task whatever the corpus; the model is an array of fixed size,
-the only thing broadcast; scoring is one map over whole texts without a shuffle.
+Scale: the fit takes about ``SAMPLE_SEGMENTS`` distinct segments of about
+``SAMPLE_DOCUMENTS`` documents, cut by hash where they lie, into one task
+whatever the corpus; the model is an array of fixed size, the only thing
+broadcast; scoring is one map over whole texts without a shuffle, and scores each
+distinct segment of a batch once.
 
 Defined results: null, empty and blank texts are no cases; repeated rows are
 judged alike; very long texts are read whole.
@@ -28,11 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: documents sampled, segments of them that count (half for each label, and what the other leaves).
-SAMPLE_DOCUMENTS, SAMPLE_SEGMENTS = 20_000, 40_000
+from auditloom.session import checkpointed
+
+#: Bounds of the fit: documents sampled, distinct segments of them that count (half for each label), and their longest.
+SAMPLE_DOCUMENTS, SAMPLE_SEGMENTS, SAMPLE_LENGTH = 20_000, 40_000, 4_000
 #: Size of the hashed feature space (a power of two) and lengths of n-grams.
 FEATURES, ORDERS = 1 << 18, (1, 2, 3, 4)
 #: Penalty, passes and share of a body that makes a document a case.
@@ -42,19 +48,36 @@ WEAK_PAGE = 0.4
 #: Stands for any placeholder in a segment that is scored.
 MARK = ""
 
-#: Shapes of unfilled placeholders and failed substitutions (fixed values); open bounds are possessive or begin once a run, so texts are read in linear time.
+#: Words in brackets that ask for a value (fixed values).
+ASKS = r"待(?:填|补)|请?(?:填写|填入|输入|插入)|(?:此处|在此|这里)|(?i:\b(?:insert|enter|add|fill in|todo|tbd)\b|\byour\b[^\[\]()<>\n]*\bhere\b)"
+
+
+def _asking(begin: str, end: str) -> str:
+    """A pair of brackets around words that ask for a value; nothing inside opens another pair, so texts are read in linear time."""
+    inner = f"[^{re.escape(begin)}{re.escape(end)}\\n]"
+    return f"{re.escape(begin)}(?={inner}*?(?:{ASKS})){inner}++{re.escape(end)}"
+
+
+#: The grammar of unfilled placeholders and failed substitutions: delimiters of template languages around anything, of format
+#: strings around a name, brackets that ask, blanks with a label, and what programs print for no value (fixed values).
 PLACEHOLDER = re.compile(
-    r"(?=[{$#<%_@\[｛【（(«X×uNny])(?:\{\{(?:\s++|\s*+['\"\w.\-][^{}\n:;|]*+(?:\|[^{}\n]*+)?\s*+)\}\}|[$#]\{[\w.\- ]++\}|<%=?[^%<>\n]{1,60}%>|\{%[^%{}\n]{1,60}%\}|%\([A-Za-z_]\w*+\)[sd]|%[A-Za-z]\w*+%"
-    r"|__[A-Za-z]\w*?__|@@\w++@@|\[\[[\w ]{1,40}\]\]|\{[A-Za-z_]\w*+\}|\{\d{1,2}\}|｛[^｛｝\n]{1,30}｝|<!-- ?\w{1,30} ?-->"
-    r"|【(?:请填写|待填|请输入|此处填写|填写)[^】\n]{0,30}】|【[^】\n]{1,12}待填】|（[^（）\n]{1,16}待(?:填|补)）|\([^()\n]{1,16}待填\)|\[YOUR [^\]\n]{1,40} HERE\]|\[(?:INSERT|ENTER|ADD) [^\]\n]{1,40}\]"
-    r"|\[(?:此处|在此)[^\]\n]{1,30}\]|\[(?:节点名|图表|领域|简介|联系方式|发布日期|访问地址|公司名称|标题|姓名|日期)\]|<(?:在此|此处|请)[^<>\n]{1,30}>|«[^«»\n]{1,16}»|(?<!_)_{3,}+（[^（）\n]{1,16}）"
-    r"|(?:(?<!X)X{3,}+|(?<!×)×{2,}+)[一-鿿]{1,6}?(?=[一-鿿。，,.\s])|\[object Object\]|\(null\)|\(undefined\)"
-    r"|(?<![A-Za-z0-9_\"'`=.])(?:undefined|NaN)(?![A-Za-z0-9_\"'`=])|(?<=[：:])(?:null|None|NULL)(?![A-Za-z0-9_])|(?<![A-Za-z0-9_\"'`=.])(?:null|None|NULL)(?=[一-鿿])|(?<=See )(?:null|None) (?=for)|(?<=[与由])(?:null|None)|(?<![A-Za-z])yyyy-mm-dd)|(?<=[：:])\s++(?:null|None|NULL)(?![A-Za-z0-9_])|(?<![A-Za-z])YYYY-MM-DD"
+    r"(?=[{$#<%_@\[｛【（(«X×uNny:：Y])(?:"
+    + "|".join(
+        [
+            r"\{\{[^{}]++\}\}|\{%[^%{}]++%\}|<%[^%<>]++%>|\[\[[^\[\]]++\]\]|[$#%]\{[^{}\n]++\}|｛[^｛｝\n]++｝|«[^«»\n]++»|@@[^@\s]++@@|<!-- ?\w++ ?-->",
+            r"\{(?:[A-Za-z_]\w*+|\d{1,2})\}|%\([A-Za-z_]\w*+\)[sd]|%[A-Za-z]\w*+%|(?<!_)__[A-Za-z0-9]++(?:_[A-Za-z0-9]++)*+__(?!_)|\[[\u4e00-\u9fff]{2,}+\]",
+            *[_asking(*p) for p in ("[]", "【】", "（）", "()", "<>")],
+            r"(?<!_)_{3,}+（[^（）\n]++）|(?:(?<!X)X{3,}+|(?<!×)×{2,}+)[\u4e00-\u9fff]{1,6}?(?=[\u4e00-\u9fff。，,.\s])",
+            r"\[object Object\]|\((?:null|undefined)\)|(?<![A-Za-z0-9_\"'`=.])(?:undefined|NaN)(?![A-Za-z0-9_\"'`=])|[：:]\s*+(?:null|None|NULL)(?![A-Za-z0-9_])",
+            r"(?<![A-Za-z0-9_\"'`=.])(?:null|None|NULL)(?=[\u4e00-\u9fff])|(?<=See )(?:null|None) (?=for)|(?<=[与由])(?:null|None)|(?<![A-Za-z])(?:yyyy-mm-dd|YYYY-MM-DD)",
+        ]
+    )
+    + ")"
 )
 #: Phrases that stand on error pages, in filler and in script notices (fixed values).
 RESIDUE = re.compile(
-    r"\blorem\b|\bipsum\b|bad gateway|gateway time-?out|not found|internal (?:server )?error|service unavailable|too many requests|forbidden|unauthori[sz]ed|session expired|sign in again|try again|could not process|no longer (?:served|available)|upstream server|\boops\b|start page|wait \d+ seconds|禁止访问|(?:enable|switch|turn|allow) (?:it|them)\b|scripts? (?:is|are) (?:blocked|off)|something went wrong|enable it\b|http \d{3}：|联系管理员|服务没有"
-    r"|traceback \(most|nullreference|keyerror|exception in|fatal error|http \d{3}|error \d{3}|\b[45]\d\d (?:页面|服务|网关)"
+    r"\blorem\b|\bipsum\b|bad gateway|gateway time-?out|not found|internal (?:server )?error|service unavailable|too many requests|forbidden|unauthori[sz]ed|session expired|sign in again|try again|could not process|no longer (?:served|available)|upstream server|\boops\b|start page|wait \d+ seconds|禁止访问|(?:enable|switch|turn|allow) (?:it|them)\b|scripts? (?:is|are) (?:blocked|off)|something went wrong|enable it\b|联系管理员|服务没有"
+    r"|traceback \(most|nullreference|keyerror|exception in|fatal error"
     r"|页面不存在|页面已下线|网关(?:错误|超时)|服务器(?:内部)?错误|内部错误|无法连接到服务器|数据库连接失败|系统繁忙|站点维护|没有(?:查看)?权限|无权(?:查看|访问)|已(?:被)?删除|已下架|找不到您|请检查网址|稍后(?:再试|重试|再来)|没有及时应答"
     r"|(?:enable|requires?|allow|turn on|switch on|support)\b[^.]{0,30}(?:javascript|scripting|scripts|cookies?)|(?:javascript|cookies?|scripting) (?:is|are) (?:off|disabled|required)|启用 ?javascript|未启用|关闭了 ?(?:cookie|javascript)|禁用了?脚本|支持脚本|允许本站脚本|脚本被拦截|关闭脚本|浏览器版本过低|检查您的浏览器|更换浏览器"
     r"|nothing (?:lives|exists|is) (?:at|here)|lives at this address|can(?:no|')t be (?:reached|displayed|found)|could not be (?:found|loaded|displayed)|has (?:moved|expired|been removed)|under maintenance|be right back|access denied|unavailable"
@@ -63,7 +86,11 @@ RESIDUE = re.compile(
     r"|示例文字|文字占位|仅供排版|测试测试|这里是(?:标题|正文|副标题)|正文内容正文|your text goes here|sample (?:heading|paragraph|text)|layout only|double-click to edit|asdf asdf|qwer",
     re.I,
 )
-#: Words of texts that discuss, quote or document such things (fixed values).
+#: A response status at the head of a page.
+STATUS = re.compile(r"^[\s\[(（#*<]*(?:(?:http|error|错误码?|状态码?)\W*)?[45]\d\d(?!\d)|[\[(（][45]\d\d[\])）]\W*$", re.I)
+#: Segments at the head of a page where a status may stand, and its longest line.
+HEAD, HEAD_LENGTH = 3, 60
+#: Words of texts that discuss, quote or document such things, for the labels only (fixed values).
 DISCUSSES = re.compile(r"因此|统计中|拒收|从清单|手册|文档给出|不受影响|常见的|写法|语法|占位符|模板变量|说明了|栏目|格式为|字段|均已填写|返回错误码|入口正常|explains?\b|the guide|documents? how|filled at|for example|报错", re.I)
 #: Menu and footer lines (fixed values).
 MENU = re.compile(r"^(?:©|copyright|返回(?:首页|顶部)|点击此处|登录 ?/|首页\b|home\b ?[>|]|时间 .{0,30}节点|语言：|loading…?$|[0-9a-f]{8,}$|\d+$)|(?:(?: \| | · | > ).*){3,}|版权所有", re.I)
@@ -108,8 +135,10 @@ def features(forms: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarra
     # length and title features
     log = np.minimum(np.log2(size + 1).astype(np.int64), 12)
     title = np.array(first, dtype=np.int64) + 2 * np.array([f.startswith(("#", "<")) for f in forms], dtype=np.int64)
-    parts += [FEATURES + log, FEATURES + 16 + title]
-    owners += [np.arange(len(forms)), np.arange(len(forms))]
+    # a placeholder as often as its segment is long, else the words of a long one drown it
+    often = np.array([MARK in f for f in forms]) * (1 + size // 8)
+    parts += [FEATURES + log, FEATURES + 16 + title, np.full(often.sum(), FEATURES + 24)]
+    owners += [np.arange(len(forms)), np.arange(len(forms)), np.repeat(np.arange(len(forms)), often)]
     index, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return index[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(forms)))]
@@ -148,37 +177,53 @@ def fit(forms: list[str], first: list[bool], labels: np.ndarray, importance: np.
     return w
 
 
-def weak_labels(text: str) -> list[tuple[str, bool, bool, int]]:
-    """``(form, first, residue page, length)`` of the segments of one text by phrases alone."""
-    parts = [s for s in segments(text) if not MENU.search(s)]
-    hit = [bool(RESIDUE.search(s)) and not DISCUSSES.search(s) for s in parts]
-    total = sum(map(len, parts))
-    page = total > 0 and sum(len(s) for s, h in zip(parts, hit) if h) >= WEAK_PAGE * total
-    out = []
-    for i, (s, h) in enumerate(zip(parts, hit)):
-        speaks = MARK in s and not DISCUSSES.search(s)
-        out.append((scored_form(s), i == 0, h or page or speaks, len(s)))
-    return out
+class Phrases:
+    """What phrases say of a form, worked out once for each."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[bool, bool, bool]] = {}
+
+    def __call__(self, form: str) -> tuple[bool, bool, bool]:
+        """Whether a form is a menu, residue, and a speaking placeholder."""
+        if form not in self.known:
+            about = bool(DISCUSSES.search(form))
+            self.known[form] = (MARK not in form and bool(MENU.search(form)), not about and bool(RESIDUE.search(form)), not about and MARK in form)
+        return self.known[form]
+
+
+def has_status(text: str) -> bool:
+    """Whether a response status stands at the head of a text."""
+    head = [s for s in segments(text[: 50 * HEAD_LENGTH]) if not MENU.search(s)][:HEAD]
+    return any(len(s) <= HEAD_LENGTH and STATUS.search(s) for s in head)
+
+
+def weak_labels(text: str, phrases: Phrases, statuses: bool = True) -> list[tuple[str, bool, bool]]:
+    """``(form, first, residue)`` of the segments of one text by phrases and, if wanted, statuses."""
+    forms = [f for s in segments(text) if not phrases(f := scored_form(s))[0]]
+    hit = [phrases(f)[1] for f in forms]
+    total = sum(map(len, forms))
+    page = total > 0 and sum(len(f) for f, h in zip(forms, hit) if h) >= WEAK_PAGE * total
+    page = page or statuses and total <= HEAD * HEAD_LENGTH and has_status(text)
+    return [(f, i == 0, h or page or phrases(f)[2]) for i, (f, h) in enumerate(zip(forms, hit))]
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def train(docs: DataFrame, id_col: str, text_col: str, statuses: bool = True) -> np.ndarray:
     """Fit the model on a bounded sample of weakly labelled segments, inside one task.
 
-    The sample is the documents with the smallest hashes, so that it is the same
-    in every run and hosts are drawn in proportion.
+    The sample is the documents with small hashes, so that it is the same in every
+    run and hosts are drawn in proportion, and of their forms the commonest.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrases = Phrases()
         for b in batches:
-            rows = [x for t in b["text"] for x in weak_labels(t)]
-            yield pd.DataFrame(rows, columns=["form", "first", "residue", "size"])[["form", "first", "residue"]]
+            rows = [x for t in b["text"] for x in weak_labels(t, phrases, statuses) if len(x[0]) <= SAMPLE_LENGTH]
+            yield pd.DataFrame(rows, columns=["form", "first", "residue"])
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"form": [], "first": [], "pos": [], "neg": [], "rank": []})])
+        pdf = pd.concat(list(batches) or [pd.DataFrame({"form": [], "first": [], "pos": [], "neg": []})])
+        pdf = pdf.sort_values(["form", "first"], ignore_index=True)
         residue = (pdf["pos"] > pdf["neg"]).to_numpy(dtype=bool)
-        half, n = SAMPLE_SEGMENTS // 2, residue.sum()
-        share = np.where(residue, max(half, SAMPLE_SEGMENTS - (len(pdf) - n)), max(half, SAMPLE_SEGMENTS - n))
-        pdf, residue = pdf[pdf["rank"] <= share], residue[pdf["rank"] <= share]
         if residue.all() or not residue.any():  # one label alone: nothing to tell apart
             w = np.zeros(SPACE + 1)
             w[-1] = 1.0 if len(pdf) and residue.all() else -1.0
@@ -189,16 +234,17 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             w = fit(pdf["form"].tolist(), pdf["first"].tolist(), labels, np.minimum(weight, 8.0))
         yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
 
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), key.alias("_h"))
-    # cut by hash where the texts lie, else every partition would send SAMPLE_DOCUMENTS texts to one task
-    share = min(1.0, 1.2 * SAMPLE_DOCUMENTS / max(1, rows.count()))
-    sample = rows.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).orderBy("_h").limit(SAMPLE_DOCUMENTS).repartition(16)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"))
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows.count()))
+    sample = rows.where(F.pmod("_h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
     labelled = sample.select("text").mapInPandas(label, "form string, first boolean, residue boolean")
     counted = labelled.groupBy("form", "first").agg(F.count_if("residue").alias("pos"), F.count_if(~F.col("residue")).alias("neg"))
-    # each label has half of the bound by hash, and what the other leaves of its half
-    by_hash = Window.partitionBy(F.col("pos") > F.col("neg")).orderBy(F.xxhash64("form"), "form", "first")
-    bounded = counted.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= SAMPLE_SEGMENTS)
+    counted = checkpointed(counted.withColumn("is", F.col("pos") > F.col("neg")))
+    # each label has half of the bound, its commonest forms first, and what the other leaves of its half
+    n = {r["is"]: r["n"] for r in counted.groupBy("is").agg(F.count("*").alias("n")).collect()}
+    order = [F.desc(F.col("pos") + F.col("neg")), F.xxhash64("form"), "form", "first"]
+    part = {k: counted.where(F.col("is") == k).orderBy(*order).limit(max(SAMPLE_SEGMENTS // 2, SAMPLE_SEGMENTS - n.get(not k, 0))) for k in (True, False)}
+    bounded = part[True].unionByName(part[False])
     row = bounded.coalesce(1).mapInPandas(one, "w binary").first()
     if row is None:  # no documents, nothing to learn
         return np.r_[np.zeros(SPACE), -1.0]
@@ -206,24 +252,30 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def judge(texts: list[str | None], weights: np.ndarray) -> list[tuple[bool, bool, float]]:
-    """``(residue page, placeholder, share of residue)`` of each text."""
-    parts = [[] if t is None or not t.strip() else segments(t) for t in texts]
-    flat, first, owner = [], [], []
-    for i, segs in enumerate(parts):
-        body = [s for s in segs if not MENU.search(s) or MARK in s]
-        for j, s in enumerate(body):
-            flat.append(s)
-            first.append(j == 0)
-            owner.append(i)
-    z = score(weights, [scored_form(s) for s in flat], first)
-    total, bad, mark = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-    for s, i, v in zip(flat, owner, z):
-        total[i] += len(s)
-        if MARK in s:  # what remains is an exact check of syntax and context
-            mark[i] |= v > 0 and not DISCUSSES.search(s)
-        elif v > 0:
-            bad[i] += len(s)
-    share = np.divide(bad, total, out=np.zeros(len(texts)), where=total > 0)
+    """``(residue page, placeholder, share of residue)`` of each text; each distinct segment is scored once."""
+    at: dict[tuple[str, bool], int] = {}
+    menu: dict[str, bool] = {}
+    which, owner = [], []
+    for i, t in enumerate(texts):
+        first = True
+        for s in [] if t is None or not t.strip() else segments(t):
+            f = scored_form(s)
+            if f not in menu:
+                menu[f] = MARK not in f and bool(MENU.search(f))
+            if not menu[f]:
+                which.append(at.setdefault((f, first), len(at)))
+                owner.append(i)
+                first = False
+    z = score(weights, [f for f, _ in at], [b for _, b in at])
+    size, marked = np.array([len(f) for f, _ in at]), np.array([MARK in f for f, _ in at], dtype=bool)
+    which, owner = np.array(which, dtype=np.int64), np.array(owner, dtype=np.int64)
+    if not len(which):
+        return [(False, False, 0.0)] * len(texts)
+    bad, marked, size = (z > 0)[which], marked[which], size[which]
+    total = np.bincount(owner, size, minlength=len(texts))
+    residue = np.bincount(owner, size * (bad & ~marked), minlength=len(texts))
+    mark = np.bincount(owner, bad & marked, minlength=len(texts)) > 0
+    share = np.divide(residue, total, out=np.zeros(len(texts)), where=total > 0)
     return [(bool(sh >= MOSTLY), bool(m), float(sh)) for sh, m in zip(share, mark)]
 
 
@@ -248,22 +300,25 @@ def cases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def validate(docs: DataFrame, id_col: str, text_col: str, host_col: str, held_out: float = 0.3) -> DataFrame:
-    """Agreement with the weak labels on hosts that the fit has not seen.
+    """What a model that learned from phrases alone finds on hosts it has not seen.
 
-    One row for each weak label: documents, and how many of them were found.
+    One row for each label: documents and how many of them were found.  Pages with
+    a response status at their head are labelled true; the phrases do not know
+    statuses, and the features see every number as the same digit.  Documents with
+    a body longer than such pages and without a placeholder are labelled false.
     """
     unseen = F.pmod(F.xxhash64(F.coalesce(host_col, F.lit(""))), F.lit(1000)) < int(1000 * held_out)
-    w = train(docs.where(~unseen), id_col, text_col)
+    w = train(docs.where(~unseen), id_col, text_col, statuses=False)
 
     @F.pandas_udf("boolean")
-    def weak(texts: pd.Series) -> pd.Series:
+    def told(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            parts = weak_labels(t or "")
-            total = sum(n for *_, n in parts)
-            out.append(total > 0 and (any(r and MARK in f for f, _, r, _ in parts) or sum(n for _, _, r, n in parts if r) >= MOSTLY * total))
-        return pd.Series(out)
+            short = sum(len(s) for s in segments(t) if not MENU.search(s)) <= HEAD * HEAD_LENGTH
+            out.append(True if short and has_status(t) else False if not short and not PLACEHOLDER.search(t) else None)
+        return pd.Series(out, dtype=object)
 
     test = docs.where(unseen & F.col(text_col).isNotNull())
     found = find_residue(test, id_col, text_col, w).select(id_col, (F.col("is_page") | F.col("has_placeholder")).alias("found"))
-    return test.select(id_col, weak(text_col).alias("weak_label")).join(found, id_col).groupBy("weak_label").agg(F.count("*").alias("n_docs"), F.count_if("found").alias("n_found"))
+    labels = test.select(id_col, told(text_col).alias("has_status")).where("has_status is not null")
+    return labels.join(found, id_col).groupBy("has_status").agg(F.count("*").alias("n_docs"), F.count_if("found").alias("n_found"))
