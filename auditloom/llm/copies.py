@@ -32,7 +32,10 @@ _BLANK = re.compile(r"[\s\u00ad\u180e\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufe
 _SCHEME = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?/{2,}|^(?:https?|ftp):/*")
 _EDGE = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "#%=-_~") + "“”‘’「」『』【】〈〉《》、。，；：！？·…"
 _HOST = re.compile(r"^(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_][\w\-]*$|^localhost$|^\d{1,3}(?:\.\d{1,3}){3}$")
-_PORT = re.compile(r":(?:80|443)?$")
+_LABEL = re.compile(r"^[^\W_](?:[\w\-]*[^\W_])?$")
+_IPV6 = re.compile(r"^([0-9a-f:.]*:[0-9a-f:.]*:[0-9a-f:.]*)\](?::(\d*))?$")
+#: Ports that go without saying.
+_USUAL = {"", "80", "443"}
 
 
 def _without_anchors(text: str) -> str:
@@ -45,7 +48,8 @@ def _without_anchors(text: str) -> str:
 def page_fields(address: str | None) -> list[tuple[str, str]] | None:
     """The (field, value) pairs of the page that ``address`` names, or None if it names none.
 
-    Fields are ``host``, ``path<position>`` and ``query<parameter>``.  Scheme,
+    Fields are ``host`` (with a port beside the usual ones), ``path<position>`` and
+    ``query<parameter>``.  A host of one label needs a scheme before it.  Scheme, user,
     white space, case, width of characters, surrounding and doubled punctuation,
     order and repetition of parameters and trailing ``#digits`` have no effect.
     """
@@ -58,13 +62,20 @@ def page_fields(address: str | None) -> list[tuple[str, str]] | None:
     while before != text:  # anchors and wrapping punctuation alternate at the end
         before, text = text, _without_anchors(text.rstrip(_EDGE))
         text = text.lstrip(_EDGE.replace("/", ""))
+    told = bool(_SCHEME.match(text))
     text = _SCHEME.sub("", text).lstrip(_EDGE)
     place, _, params = text.partition("?")
     host, *path = re.split(r"[/\\]+", place)
-    host = _PORT.sub("", host).strip(_EDGE)
-    host = re.sub(r"\.{2,}", ".", host)
-    if len(host) > 253 or not _HOST.match(host):
-        return None
+    host = host.rpartition("@")[2].lstrip(_EDGE)
+    if m := _IPV6.match(host):
+        host, port = f"[{m[1]}]", m[2] or ""
+    else:
+        host, _, port = host.partition(":")
+        host, port = re.sub(r"\.{2,}", ".", host.strip(_EDGE)), port.strip(_EDGE)
+        if len(host) > 253 or not (port.isascii() and port.isdigit() or not port) or not (_HOST.match(host) or told and _LABEL.match(host)):
+            return None
+    if port not in _USUAL:
+        host = f"{host}:{port}"
     # punctuation around and between segments and parameters has no effect
     path = [s for s in (x.strip(_EDGE) for x in path) if s]
     pairs = sorted({p for p in (x.strip(_EDGE + "=#") for x in re.split(r"[&;?]+", params)) if p})

@@ -1,7 +1,9 @@
 """Text decoded with the wrong encoding: improbable runs and inverse mappings.
 
-One pass counts, over all strings, characters and adjacent pairs in hashed bins of
-fixed number.  A pair's score is how far its mutual information lies below a
+One pass counts, over all strings, characters and adjacent pairs in a sketch of fixed
+size: a pair has a bin in each of several rows, its count is the least of them, less
+what a bin holds anyhow (the row's median: nothing while most bins are empty), so that
+pairs never seen stay rare however many others fill the bins.  A pair's score is how far its mutual information lies below a
 threshold.  The information is taken within the classes of the two characters
 (else all rare scripts would look bound together, garbled ones most) and
 discounted where pair or characters are rare; the maximum-scoring segments of these
@@ -9,18 +11,19 @@ scores are the improbable runs of a string.  Inside such runs (grown to the
 borders of their script) inverse mappings are tried: the run is encoded with a
 wrong and decoded with a right encoding, again for text garbled twice, and the
 result has to be valid nearly throughout and made of characters that the corpus
-knows.  Copies of a record make its own pairs look bound together, so no count can
+knows.  Parts of a garbled string without any improbable or telling pair stay as they are.  Copies of a record make its own pairs look bound together, so no count can
 clear a string: where bytes of UTF-8 show under a wrong reading (``telling``), every
-run is tried under stricter rules.  Replacement and C1 control characters are damage
-beyond repair.
+run is tried under stricter rules.
 
 Scale: two maps over the records without shuffling them; the bins are summed
 map-side, at most ``PAIR_BINS + CHAR_BINS`` numbers leave the executors and are
 broadcast, whatever the corpus.
 
 Defined results: null, empty and ASCII strings are never cases; correct text in
-any language has no valid inverse and is no case; very long strings are read
-whole; equal strings are judged alike.
+any language has no valid inverse and is no case; a replacement character, what one
+becomes when it is read as GBK, and a C1 control are damage by definition: a string
+with one is a case whatever its scores, and has no restored text; very long strings
+are read whole; equal strings are judged alike.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import nested
 
-PAIR_BINS, CHAR_BINS, CLASSES = 1 << 20, 1 << 16, 5
+PAIR_ROWS, ROW_BINS, CHAR_BINS, CLASSES = 4, 1 << 18, 1 << 16, 5
+PAIR_BINS = PAIR_ROWS * ROW_BINS
 #: Discounted mutual information under which a pair speaks for garbling, most that one pair says, and what a segment needs.
 LIKELY, MOST, ENOUGH = 3.0, 3.0, 4.5
 #: Share of a run's bytes that an inverse mapping has to explain, and of restored CJK characters that the corpus has to know.
@@ -118,7 +122,8 @@ class Corpus:
 
     def __init__(self, chars: np.ndarray, pairs: np.ndarray, classes: np.ndarray):
         self.chars, self.pairs, self.classes = chars, pairs, classes
-        n = max(1.0, float(pairs.sum()))
+        n = max(1.0, float(pairs.sum()) / PAIR_ROWS)
+        self.noise = float(max(np.median(row) for row in pairs.reshape(PAIR_ROWS, ROW_BINS)))
         self.rare, self.known = max(2.0, n * 2e-5), max(3.0, n * 5e-7)
         total = np.maximum(np.bincount(_CLASS, weights=chars, minlength=CLASSES), 1.0)
         joint = np.maximum(classes.reshape(CLASSES, CLASSES), 1.0)
@@ -126,7 +131,7 @@ class Corpus:
 
     def information(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Mutual information of adjacent characters within their classes, discounted where they are rare."""
-        joint = self.pairs[pair_bins(a, b)].astype(np.float64)
+        joint = np.maximum(self.pairs[pair_bins(a, b)].min(axis=0) - self.noise, 0.0)
         a, b = a & (CHAR_BINS - 1), b & (CHAR_BINS - 1)
         ca, cb = self.chars[a].astype(np.float64), self.chars[b].astype(np.float64)
         low = np.minimum(ca, cb)
@@ -148,7 +153,12 @@ class Corpus:
 
 
 def pair_bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint32) * np.uint32(2654435761) ^ b.astype(np.uint32) * np.uint32(2246822519)) >> np.uint32(12)
+    """The bins of pairs, one line for each row of the sketch."""
+    key = (a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)) + np.uint64(1)
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)[:PAIR_ROWS, None]
+    mixed = key[None, :] * factors
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * factors
+    return (mixed >> np.uint64(46)).astype(np.int64) + (np.arange(PAIR_ROWS, dtype=np.int64) * ROW_BINS)[:, None]
 
 
 def codes(texts: list[str]) -> np.ndarray:
@@ -167,7 +177,7 @@ def count(texts: list[str], chars: np.ndarray, pairs: np.ndarray, classes: np.nd
     a, b = flat[:-1], flat[1:]
     own = ((a > 127) | (b > 127)) & ~edge[:-1]
     a, b = a[own], b[own]
-    pairs += np.bincount(pair_bins(a, b), minlength=PAIR_BINS)
+    pairs += np.bincount(pair_bins(a, b).ravel(), minlength=PAIR_BINS)
     classes += np.bincount(_CLASS[a & (CHAR_BINS - 1)].astype(np.int64) * CLASSES + _CLASS[b & (CHAR_BINS - 1)], minlength=CLASSES * CLASSES)
 
 
@@ -304,15 +314,18 @@ def repair(text: str, corpus: Corpus, scores: np.ndarray | None = None) -> tuple
     if text.isascii():
         return False, text
     lost = _REPLACED in text or _REREAD in text
+    flat = codes([text])
+    scores = corpus.scores(flat) if scores is None else scores
+    told = telling(flat)
     if not lost:
-        scores = corpus.scores(codes([text])) if scores is None else scores
         runs = {r for a, b in maximal_segments(scores) for r in grow(text, a, b + 1)}
         if not any(_controls(text[a:b]) or inverse(text[a:b], corpus) is not None for a, b in runs):
-            told = telling(codes([text]))
             if not told.any() or not any(told[a:b].any() and (_controls(text[a:b]) or holds(text[a:b], corpus)) for a, b in _parts(text)):
                 return False, text
     out, at = [], 0
-    for a, b in _parts(text):  # a text with one garbled run may have others that look less strange
+    for a, b in _parts(text):
+        if not (told[a:b].any() or scores[max(0, a - 1) : b].max(initial=0.0) > 0):
+            continue  # nothing improbable in it or at its ends
         meant = inverse(text[a:b], corpus)
         if meant is not None:
             out += [text[at:a], meant]
@@ -342,7 +355,10 @@ def learn(df: DataFrame, column: str) -> tuple[Corpus, set[str]]:
         )
 
     sums = df.select(column).mapInArrow(run, "bin int, chain string, n bigint").groupBy("bin", "chain").agg(F.sum("n").alias("n"))
-    got = sums.limit(PAIR_BINS + CHAR_BINS + CLASSES * CLASSES + nested.MAX_ARRAY_FIELDS).toArrow()
+    most = PAIR_BINS + CHAR_BINS + CLASSES * CLASSES + nested.MAX_ARRAY_FIELDS
+    got = sums.limit(most + 1).toArrow()
+    if got.num_rows > most:
+        raise ValueError("the records use data as field names: more array fields than any schema has")
     bins, n = got["bin"].to_numpy(), got["n"].to_numpy()
     both = np.zeros(CHAR_BINS + PAIR_BINS + CLASSES * CLASSES, dtype=np.int64)
     both[bins[bins >= 0]] = n[bins >= 0]

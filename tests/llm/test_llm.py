@@ -257,6 +257,24 @@ def test_copies_of_a_garbled_record_do_not_clear_it(spark, wrong):
     assert wrong == "cp1251" or set(got.values()) == {"年度报告下载"}
 
 
+def test_pairs_stay_apart_in_a_full_sketch():
+    rng = np.random.default_rng(1)
+    counts = [np.zeros(n, dtype=np.int64) for n in (garbled.CHAR_BINS, garbled.PAIR_BINS, garbled.CLASSES**2)]
+    own = "测试报告数据目录公开样本"
+    garbled.count([own] * 3000 + ["".join(map(chr, rng.integers(0x4E00, 0x9000, 2000))) for _ in range(600)], *counts)
+    corpus = garbled.Corpus(*counts)
+    assert corpus.noise > 0  # more pairs than bins
+    a, b = garbled.codes(list(own[:-1])), garbled.codes(list(own[1:]))
+    assert (corpus.information(a, b) > garbled.LIKELY).all()
+    unseen = rng.integers(0x9000, 0x9F00, (2, 500)).astype(np.uint32)
+    assert (corpus.pairs[garbled.pair_bins(*unseen)].min(axis=0) <= corpus.noise).mean() > 0.9
+
+
+def test_only_strange_parts_are_changed(corpus):
+    bad = TEXT.encode().decode("latin-1")
+    assert garbled.repair(f"Größe 目录页按年份归档 {bad} Höhe", corpus) == (True, f"Größe 目录页按年份归档 {TEXT} Höhe")
+
+
 def test_find_garbled(spark):
     rng = random.Random(2)
     good = ["年度报告", "测试条件", "数据集平台", "公开样本"]
@@ -285,6 +303,16 @@ def test_page_fields():
     assert [copies.page_fields(u) for u in (None, "", " ", "无", "见备注", "n/a", "-")] == [None] * 7
 
 
+def test_hosts_of_any_kind():
+    pages = [
+        ["https://a.com:8080/x", "HTTPS://a.com:8080/x/", "a.com:8080/x#3"], ["https://a.com/x", "http://a.com:80/x", "https://user:word@a.com:443/x", "a.com:/x"], ["http://intranet/x", "HTTP://Intranet/x/"],
+        ["http://[2001:db8::1]/x", "https://[2001:DB8::1]:443/x"], ["http://[2001:db8::1]:81/x"], ["http://10.0.0.1:9000/"],
+    ]
+    made = [{tuple(copies.page_fields(u) or ()) for u in group} for group in pages]
+    assert all(len(m) == 1 and () not in m for m in made) and len(set.union(*made)) == len(pages)
+    assert [copies.page_fields(u) for u in ("intranet/x", "http://", "说明:见备注", "a:b", "n/a")] == [None] * 5
+
+
 def test_copy_rows(spark):
     rows = [(10 + i, "s", u) for i, u in enumerate(SAME)] + [(3, "s", SAME[0]), (50, "s", OTHER[0]), (51, "s", None), (52, "s", ""), (53, "s", "无"), (54, "s", "无"), (60, "t", SAME[1])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id int, scope string, url string, record int, value string")
