@@ -1,10 +1,11 @@
 """Schemas that drift between files: tagged-union inference and one table.
 
-Each record is opened into (file, field, tag) where the tag is the JSON type of
-the value.  Fusing the schemas of parallel files keeps every alternative type of
-a field; a conflict becomes typed branches plus one canonical value.  Files of
-one group in order of time are compared pairwise and each appearing, vanishing,
-renamed or retyped field is reported.
+Each record is opened into (file, path, tag), at every depth, where the tag is the
+JSON type of the value.  Fusing the schemas of parallel files keeps every
+alternative type of a path; a conflict becomes typed branches plus one canonical
+value.  Files of one group in order of time are compared pairwise by the
+alternatives of their fields, and each appearing, vanishing, renamed or retyped
+field is reported.
 
 A rename needs the same content under the same type: the removed and the added
 field are compared by the cosine of their content profiles, they must be each
@@ -12,20 +13,29 @@ other's best match, and names that stand side by side in any file are never one
 field.  Values are profiled only for the fields that vanish and appear in one
 step, in a second, narrow pass.
 
-Everything stays in built-in expressions (VARIANT), aggregated map-side; windows
-run over files, not rows.
+Tags are counted within each batch of rows, so a row costs no shuffle; windows run
+over files, not rows.
 
 Defined results: blanks and byte-order marks around field names do not count; of
-two spellings in one record the first value that is not null counts; null values
-make a field present but give it no type; a tie between types goes to the type
-first in the order of TAGS; records that are not JSON objects carry no fields.
+two spellings of a field in one record the first value that is not null is the
+field's, the others stand in its branch ``others``; null values make a field
+present but give it no type; a tie between types goes to the type first in the
+order of TAGS; records that are not JSON objects carry no fields; integers of up
+to 38 digits keep all of them, what no branch can hold keeps its text.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from auditloom.operators import nested
 from auditloom.session import checkpointed
 
 #: JSON types, in the order that breaks ties.
@@ -42,6 +52,8 @@ MAX_FIELDS = 100_000
 
 _NAME_EDGE = r"[\s\x{00A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]+"
 
+_EDGES = re.compile(r"^[\s\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+|[\s\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+$")
+
 
 def clean_name(name: Column) -> Column:
     return F.regexp_replace(name, f"^{_NAME_EDGE}|{_NAME_EDGE}$", "")
@@ -66,20 +78,69 @@ def entries(record: Column) -> Column:
     return F.transform(opened, lambda e: F.struct(clean_name(e["key"]).alias("field"), e["value"].alias("value")))
 
 
+def _tag(value: object) -> str:
+    if isinstance(value, bool):
+        return "boolean"
+    for kind, name in ((str, "string"), (int, "integer"), (float, "number"), (list, "array"), (dict, "object")):
+        if isinstance(value, kind):
+            return name
+    return "null"
+
+
+def tagged_paths(record: str | None) -> list[tuple[str, bool, str]]:
+    """``(path, top, tag)`` of every value of a record, at any depth: fields joined by dots, ``[]`` for elements."""
+    top = nested.parse(record)
+    if not isinstance(top, dict):
+        return []
+    out, stack = [], [(_EDGES.sub("", k), True, v) for k, v in top.items()]
+    while stack:
+        path, own, value = stack.pop()
+        out.append((path, own, _tag(value)))
+        if isinstance(value, dict):
+            stack += [(f"{path}.{k}", False, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            stack += [(f"{path}[]", False, v) for v in value]
+    return out
+
+
+def tagged_union(rows: DataFrame, key_cols: list[str], record_col: str = "record") -> DataFrame:
+    """``key_cols, path, top, tag, n``: how often each path has each alternative type; ``top`` are the record's own fields."""
+    keys = rows.select(*key_cols).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            held = [batch.column(i).to_pylist() for i in range(len(key_cols))]
+            for *key, text in zip(*held, batch.column(len(key_cols)).to_pylist()):
+                for found in tagged_paths(text):
+                    counts[(*key, *found)] += 1
+            cols = list(zip(*counts)) if counts else [()] * (len(key_cols) + 3)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, batch.column(i).type) for i, c in enumerate(cols[:-3])], nested._strings(list(cols[-3])), pa.array(cols[-2], pa.bool_()), pa.array(cols[-1], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                [*key_cols, "path", "top", "tag", "n"],
+            )
+
+    schema = StructType([*keys.fields, *StructType.fromDDL("path string, top boolean, tag string, n bigint").fields])
+    return rows.select(*key_cols, record_col).mapInArrow(run, schema).groupBy(*key_cols, "path", "top", "tag").agg(F.sum("n").alias("n"))
+
+
 def file_fields(rows: DataFrame, file_cols: list[str], record_col: str = "record") -> DataFrame:
-    """``file_cols, field, tag, n_values``: each field of each file with its type."""
-    opened = rows.select(*file_cols, F.explode(entries(F.col(record_col))).alias("_e")).select(*file_cols, F.col("_e.field").alias("field"), tag(F.col("_e.value")).alias("tag"))
-    counted = opened.groupBy(*file_cols, "field", "tag").agg(F.count("*").alias("n"))
+    """``file_cols, field, tag, n_values``: each field of each file with its main type, from its alternatives."""
+    return _main_tags(tagged_union(rows, file_cols, record_col), file_cols)
+
+
+def _main_tags(union: DataFrame, file_cols: list[str]) -> DataFrame:
+    typed = F.col("tag") != "null"
     order = F.array_position(F.array(*[F.lit(t) for t in TAGS]), F.col("tag"))
-    best = F.max(F.when(F.col("tag").isNotNull(), F.struct("n", (-order).alias("o"), "tag")))
-    return counted.groupBy(*file_cols, "field").agg(best.getField("tag").alias("tag"), F.coalesce(F.sum(F.when(F.col("tag").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"))
+    best = F.max(F.when(typed, F.struct("n", (-order).alias("o"), "tag")))
+    tops = union.where("top")
+    return tops.groupBy(*file_cols, F.col("path").alias("field")).agg(best.getField("tag").alias("tag"), F.coalesce(F.sum(F.when(typed, F.col("n"))), F.lit(0)).alias("n_values"))
 
 
 def alternatives(rows: DataFrame, group_cols: list[str], file_col: str, time_col: str, record_col: str = "record") -> DataFrame:
-    """The tagged union of each group: every field with each alternative type, where it first appears and how often it occurs."""
-    opened = rows.select(*group_cols, file_col, time_col, F.explode(entries(F.col(record_col))).alias("_e"))
-    opened = opened.select(*group_cols, F.struct(time_col, file_col).alias("_f"), F.col("_e.field").alias("field"), F.coalesce(tag(F.col("_e.value")), F.lit("null")).alias("tag"))
-    return opened.groupBy(*group_cols, "field", "tag").agg(F.min("_f").getField(file_col).alias("first_file"), F.count("*").alias("n_values"))
+    """The tagged union of each group: every path with each alternative type, where it first appears and how often it occurs."""
+    counted = tagged_union(rows, [*group_cols, file_col, time_col], record_col)
+    return counted.groupBy(*group_cols, F.col("path").alias("field"), "tag").agg(F.min(F.struct(time_col, file_col)).getField(file_col).alias("first_file"), F.sum("n").alias("n_values"))
 
 
 def _profile_terms(value: Column, kind: Column) -> Column:
@@ -152,31 +213,33 @@ def changes(
     return out.withColumnRenamed("_file", file_col)
 
 
-def field_names(found: DataFrame, fields: DataFrame) -> dict[str, list[str]]:
+def field_names(found: DataFrame, fields: DataFrame, file_col: str = "file_id") -> dict[str, list[str]]:
     """Canonical name -> all names of a field, from the renames found.
 
-    Names joined by renames are one field; its commonest name is canonical.  Only
-    names come to the driver, never rows.
+    Names joined by renames, the commonest renames first, are one field unless any
+    two of them stand in one file; the commonest name is canonical.  Only names and
+    pairs of names come to the driver, never rows.
     """
     count = {r["field"]: r["n"] for r in fields.groupBy("field").agg(F.count("*").alias("n")).limit(MAX_FIELDS + 1).collect()}
     if len(count) > MAX_FIELDS:
         raise ValueError("the records use data as field names")
-    above = {f: f for f in count}
-
-    def top(f: str) -> str:
-        while above[f] != f:
-            f = above[f]
-        return f
-
-    for r in found.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect():
-        above[top(r["old_field"])] = top(r["new_field"])
-    groups: dict[str, list[str]] = {}
-    for f in sorted(count, key=lambda f: (-count[f], f)):
-        groups.setdefault(top(f), []).append(f)
-    return {names[0]: names for names in groups.values()}
-
-
-def _typed(value: Column, main: str) -> Column:
+    renames = found.where("change_kind = 'renamed'").groupBy(F.least("old_field", "new_field").alias("a"), F.greatest("old_field", "new_field").alias("b")).agg(F.count("*").alias("n"))
+    renames = checkpointed(renames)
+    names = renames.select(F.explode(F.array("a", "b")).alias("field")).distinct()
+    own = fields.join(names, "field").select(file_col, "field")
+    met = own.withColumnRenamed("field", "a").join(own.withColumnRenamed("field", "b"), file_col).where("a < b").select("a", "b").distinct()
+    apart = {(r["a"], r["b"]) for r in met.collect()}
+    group = {f: [f] for f in count}
+    for r in sorted(renames.collect(), key=lambda r: (-r["n"], r["a"], r["b"])):
+        x, y = group[r["a"]], group[r["b"]]
+        if x is not y and not any((min(a, b), max(a, b)) in apart for a in x for b in y):
+            x += y
+            group.update({f: x for f in y})
+    once = {id(g): sorted(g, key=lambda f: (-count[f], f)) for g in group.values()}
+    return {names[0]: names for names in sorted(once.values(), key=lambda g: (-count[g[0]], g[0]))}
+
+
+def _typed(value: Column, others: Column, main: str) -> Column:
     """A variant as typed branches with its tag and, by the field's main type, one canonical value."""
     kind = tag(value)
     text = F.try_variant_get(value, "$", "string")
@@ -188,17 +251,18 @@ def _typed(value: Column, main: str) -> Column:
     word = F.lower(F.trim(inner))
     canonical = {
         "boolean": F.when(word.isin(YES), "true").when(word.isin(NO), "false"),
-        "integer": word.try_cast("double").cast("bigint").cast("string"),
+        "integer": F.coalesce(F.when(word.rlike(r"^[+-]?\d+$"), word.try_cast("decimal(38,0)").cast("string")), F.when(word.try_cast("double").isNotNull(), word)),
         "number": F.when(word.endswith("%"), F.regexp_replace(word, "%$", "").try_cast("double") / 100).otherwise(word.try_cast("double")).cast("string"),
     }.get(main, inner)
     return F.struct(
         kind.alias("tag"),
         F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean")).alias("as_boolean"),
-        F.when(kind == "integer", F.try_variant_get(value, "$", "bigint")).alias("as_integer"),
+        F.when(kind == "integer", F.try_variant_get(value, "$", "decimal(38,0)")).alias("as_integer"),
         F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("as_number"),
         F.when(kind == "string", text).alias("as_string"),
         F.when(kind.isin("array", "object"), F.to_json(value)).alias("as_json"),
         canonical.alias("canonical"),
+        others.alias("others"),
     )
 
 
@@ -208,7 +272,8 @@ def unified(rows: DataFrame, key_cols: list[str], names: dict[str, list[str]], m
     cols = []
     for name, spellings in names.items():
         own = F.filter("_e", lambda e: e["field"].isin(spellings) & tag(e["value"]).isNotNull())
-        cols.append(_typed(F.get(own, F.lit(0)).getField("value"), main.get(name, "string")).alias(name))
+        others = F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda e: F.to_json(e["value"]))
+        cols.append(_typed(F.get(own, F.lit(0)).getField("value"), others, main.get(name, "string")).alias(name))
     return opened.select(*key_cols, *cols)
 
 

@@ -12,6 +12,8 @@ from auditloom.session import table
 
 _GROUP = ["domain_id", "file_kind"]
 _JSON_COLUMNS = ["tool_input", "tool_response"]
+#: The tables of the evidence log that have queries of their own; their columns are found.
+_TABLES = ["tool_input", "tool_input.filters", "tool_response", "tool_response.results", "tool_response.results.content", "tool_response.results.content.sitelinks", "tool_response.links"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +39,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.nodes(table(spark, sf_dir, "evidence_log"), "evidence_id", _JSON_COLUMNS)
 
 
-def _flat(name: str, fields: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         triples = nested.shred(table(spark, sf_dir, "evidence_log"), "evidence_id", _JSON_COLUMNS)
-        return nested.flat_table(triples, "evidence_id", name, fields)
+        return nested.flat_table(triples, "evidence_id", name)
 
     return query
 
@@ -57,9 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_catalog": _unified("数据源清单"),
         "p3_found": p3_found,
         "p3_report": p3_report,
-        "p3_filters": _flat("tool_input.filters", ["field", "values[]"]),
-        "p3_results": _flat("tool_response.results", ["tool_use_id", "title", "url"]),
-        "p3_content": _flat("tool_response.results.content", ["title", "url", "text"]),
-        "p3_sitelinks": _flat("tool_response.results.content.sitelinks", ["title", "url"]),
-        "p3_links": _flat("tool_response.links", ["title", "href"]),
+        **{f"p3_{name.rpartition('.')[2]}": _flat(name) for name in _TABLES},
     }

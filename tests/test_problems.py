@@ -85,7 +85,7 @@ def test_nodes(spark):
 
 def test_depth_and_size(spark):
     deep = "[" * 30_000 + '{"a":1}' + "]" * 30_000
-    rows = list(nested.walk("c", deep, set(), False))
+    rows = [r for r in nested.walk("c", deep, set()) if r[3] and r[4] is None]
     assert len(rows) == 1 and rows[0][1] == "c" + "[0]" * 30_000
     assert len(found(spark, (None, json.dumps({"r": [{"t": "x" * 1_000_000}] * 3})))) == 3
 
@@ -97,6 +97,36 @@ def test_tables(spark):
     assert [(r["node_path"], r["title"], r["tags"]) for r in rows] == [("tool_response.results[0]", "a", ["p", "q"]), ("tool_response.results[1]", "?", []), ("tool_response.results[2]", None, [])]
 
 
+def test_tables_have_the_columns_found(spark):
+    df = spark.createDataFrame([(7, '{"query":"q","node_path":"n","list":["x",{"t":1},2],"Query":true}', None), (8, "[]", "7"), (9, None, None)], "evidence_id bigint, a string, b string")
+    tables = nested.flat_tables(nested.shred(df, "evidence_id", ["a", "b"]), "evidence_id")
+    assert set(tables) == {"a", "a.list"}
+    root = {r["evidence_id"]: r.asDict() for r in tables["a"].collect()}
+    assert root[7] == {"evidence_id": 7, "node_path": "", "parent_path": "", "Query": "true", "list": ["x", "2"], "node_path_2": "n", "query_3": "q"}
+    assert root[8]["list"] == [] and [r["t"] for r in tables["a.list"].collect()] == ["1"]
+    assert nested.flat_tables(nested.shred(df.limit(0), "evidence_id", ["a"]), "evidence_id") == {}
+
+
+def test_alternatives_at_any_depth(spark):
+    rows = files(spark, [{"a": {"b": [1, "x", {"c": None}]}, " k﻿": 1.5}], [{"a": "t"}])
+    got = {(r["field"], r["tag"], r["first_file"], r["n_values"]) for r in drift.alternatives(rows, ["file_kind"], "file_id", "written_at").collect()}
+    assert got == {("a", "object", "f0", 1), ("a", "string", "f1", 1), ("a.b", "array", "f0", 1), ("a.b[]", "integer", "f0", 1), ("a.b[]", "string", "f0", 1), ("a.b[]", "object", "f0", 1), ("a.b[].c", "null", "f0", 1), ("k", "number", "f0", 1)}
+
+
+def test_unified_keeps_every_value(spark):
+    rows = files(spark, [{"n": 9007199254740993, "级别": "a", "粒度": "b"}, {"n": "1e300"}, {"n": 123456789012345678901234}, {"n": 1e300}, {"n": "12.5"}])
+    got = drift.unified(rows, ["row_id"], {"n": ["n"], "级别": ["级别", "粒度"]}, {"n": "integer", "级别": "string"}).orderBy("row_id").collect()
+    assert [r["n"]["canonical"] for r in got][:3] == ["9007199254740993", "1e300", "123456789012345678901234"] and got[4]["n"]["canonical"] == "12.5"
+    assert int(got[2]["n"]["as_integer"]) == 123456789012345678901234 and got[3]["n"]["as_number"] == 1e300
+    assert (got[0]["级别"]["canonical"], got[0]["级别"]["others"]) == ("a", ['"b"'])
+
+
+def test_names_that_meet_are_not_united(spark):
+    rows = files(spark, [{"a": 1, "c": 2}], [{"b": 1}])
+    found = spark.createDataFrame([("f1", "renamed", "a", "b")] * 3 + [("f2", "renamed", "b", "c")], "file_id string, change_kind string, old_field string, new_field string")
+    assert sorted(map(sorted, drift.field_names(found, drift.file_fields(rows, ["file_id"])).values())) == [["a", "b"], ["c"]]
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text("ab{[\"\\ é", max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab", max_size=2), x, max_size=3), max_leaves=12)
 
 
