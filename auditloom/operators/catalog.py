@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import urls, vocab
+from auditloom.operators import evidence
 from auditloom.session import checkpointed
 
 
@@ -52,9 +53,10 @@ def keep_first(rows: DataFrame, seq_col: str, group_cols: list[str], max_rounds:
 
 
 def latest(rows: DataFrame, key_cols: list[str], seq_col: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*key_cols).orderBy(F.desc(seq_col))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The last row of each key; a maximum, so that a key's rows are combined where they lie."""
+    cols = [c for c in rows.columns if c not in key_cols]
+    last = F.max_by(F.struct(*cols), F.col(seq_col)).alias("_l")
+    return rows.groupBy(*key_cols).agg(last).select(*[c if c in key_cols else F.col(f"_l.`{c}`").alias(c) for c in rows.columns])
 
 
 def ingest_outcomes(batch: DataFrame, nodes: DataFrame, grounded: DataFrame, id_col: str) -> DataFrame:
@@ -85,11 +87,16 @@ def type_text(counts: DataFrame, key_cols: list[str], type_col: str, n_col: str)
 
 
 def stats_by_node(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``run_id, node, n, types`` of every declared node, empty ones too, and a total for each run."""
-    counts = rows.where("leaf is not null").groupBy("run_id", F.col("leaf").alias("node"), "source_type").agg(F.count("*").alias("n"))
-    each = nodes.join(type_text(counts, ["run_id", "node"], "source_type", "n"), ["run_id", "node"], "left").select("run_id", "node", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("types", F.lit("")).alias("types"))
-    total = type_text(counts.groupBy("run_id", "source_type").agg(F.sum("n").alias("n")), ["run_id"], "source_type", "n").select("run_id", F.lit("总计").alias("node"), "n", "types")
-    return each.unionByName(total)
+    """``run_id, node, n, types`` of every declared node, empty ones too, and a total for each run.
+
+    Nodes and totals are grouping sets of one aggregate, so the rows are read once.
+    """
+    own = rows.where("leaf is not null").select("run_id", F.col("leaf").alias("node"), "source_type")
+    sets = own.groupingSets([["run_id", "node", "source_type"], ["run_id", "source_type"]], "run_id", "node", "source_type")
+    counts = sets.agg(F.count("*").alias("n"), F.grouping("node").alias("_total")).withColumn("node", F.when(F.col("_total") == 1, "总计").otherwise(F.col("node")))
+    texts = type_text(counts, ["run_id", "node", "_total"], "source_type", "n")
+    each = nodes.select("run_id", "node", F.lit(0).cast("tinyint").alias("_total")).join(texts, ["run_id", "node", "_total"], "full_outer")
+    return each.select("run_id", "node", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("types", F.lit("")).alias("types"))
 
 
 def lineage(items: DataFrame, journal: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -102,3 +109,11 @@ def lineage(items: DataFrame, journal: DataFrame, catalog: DataFrame) -> DataFra
         "evidence_id", "pos", "sub", "run_id", "phase", "node", "query", "results", "url", vocab.yes_no(F.col("_e").isNotNull()).alias("collected"),
         F.coalesce("_e.name", F.lit("")).alias("name"), F.coalesce("_e.reason", F.lit("")).alias("reason"),
     )
+
+
+def text_lineage(entries: DataFrame, ev: DataFrame, journal: DataFrame) -> DataFrame:
+    """``store_id, run_id, url, query, phase, node, note`` of entries whose address only the text of a result has."""
+    found = evidence.text_only(entries, ev, "store_id").join(entries.select("store_id", "run_id"), "store_id")
+    last = latest(journal.where("query is not null"), ["run_id", "query"], "store_id").select("run_id", "query", "phase", "node")
+    rows = found.join(last, ["run_id", "query"], "left")
+    return rows.select("store_id", "run_id", "url", "query", F.coalesce("phase", F.lit("")).alias("phase"), F.coalesce("node", F.lit("")).alias("node"), F.lit("摘要文本提取").alias("note"))

@@ -12,8 +12,13 @@ def _blank(c: str):
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def knowledge_outcomes(knowledge: DataFrame, declared: DataFrame) -> DataFrame:
-    """``knowledge`` with ``outcome``; unverified items need no address."""
+def knowledge_outcomes(knowledge: DataFrame, declared: DataFrame | None) -> DataFrame:
+    """``knowledge`` (with ``is_grounded``) with ``outcome``; unverified items need no address and no evidence.
+
+    Without ``declared`` names are not checked: the list may not be there yet.
+    """
+    if declared is None:
+        declared = knowledge
     names = declared.select("run_id", "name").distinct().withColumn("_d", F.lit(True))
     outcome = (
         F.when(_blank("name") | _blank("node"), "incomplete")
@@ -21,6 +26,7 @@ def knowledge_outcomes(knowledge: DataFrame, declared: DataFrame) -> DataFrame:
         .when(~F.coalesce("verified", F.lit(False)), "unverified")
         .when(_blank("url"), "without_url")
         .when(vocab.is_garbage(urls.host(F.col("url")), vocab.REFUSED_HOSTS), "garbage")
+        .when(~F.col("is_grounded"), "ungrounded")
         .otherwise("accepted")
     )
     return knowledge.join(names, ["run_id", "name"], "left").withColumn("outcome", outcome).drop("_d")

@@ -258,12 +258,16 @@ def ingest_outcomes(spark, sf_dir):
 
 
 _KNOW = "kno as (select * from store where type = 'knowledge')"
-_KOUT = "case when trim(coalesce(name, '')) = '' or trim(coalesce(node, '')) = '' then 'incomplete' when d.name is null then 'not_declared' when not coalesce(verified, false) then 'unverified' when trim(coalesce(url, '')) = '' then 'without_url' when regexp_matches(" + _HOST.format("url") + ", '" + vocab.any_of(vocab.REFUSED_HOSTS) + "') then 'garbage' else 'accepted' end"
+_KOUT = "case when trim(coalesce(name, '')) = '' or trim(coalesce(node, '')) = '' then 'incomplete' when d.name is null then 'not_declared' when not coalesce(verified, false) then 'unverified' when trim(coalesce(url, '')) = '' then 'without_url' when regexp_matches(" + _HOST.format("url") + ", '" + vocab.any_of(vocab.REFUSED_HOSTS) + "') then 'garbage' when h.store_id is null then 'ungrounded' else 'accepted' end"
 
 
-@query(_with(_KNOW, _DECLARED) + f"select store_id, {_KOUT.replace('(name,', '(k.name,').replace('(node,', '(k.node,')} outcome from kno k left join (select distinct run_id, name from dec) d on k.run_id = d.run_id and k.name = d.name")
+_KHIT = "hit as (select distinct c.store_id from (select store_id, run_id, unnest(" + _FORMS.format("url") + ") token from kno where url is not null) c join (select distinct run_id, token from tok) t using (run_id, token))"
+
+
+@query(_with(_KNOW, _DECLARED, _EV, _TOKENS, _KHIT) + f"select k.store_id, {_KOUT.replace('(name,', '(k.name,').replace('(node,', '(k.node,')} outcome from kno k left join (select distinct run_id, name from dec) d on k.run_id = d.run_id and k.name = d.name left join hit h on k.store_id = h.store_id")
 def knowledge_gate(spark, sf_dir):
-    return gates.knowledge_outcomes(logs.knowledge(spark, sf_dir), logs.declared(spark, sf_dir)).select("store_id", "outcome")
+    k = evidence.grounded(logs.knowledge(spark, sf_dir), _evidence(spark, sf_dir), "store_id")
+    return gates.knowledge_outcomes(k, logs.declared(spark, sf_dir)).select("store_id", "outcome")
 
 
 @query(
@@ -368,20 +372,19 @@ def lineage(spark, sf_dir):
 
 
 @query(
-    _with(_SRC, _EV, _ITEMS, _TOKENS)
-    + ", su as (select distinct run_id, "
-    + _STRIP.format("item->>'$.url'")
-    + " url from it where coalesce(item->>'$.url', '') <> ''), tt as (select distinct run_id, token from tok), c as (select store_id, run_id, "
-    + _STRIP.format("url")
-    + " url from src where url is not null) select c.store_id, c.url, '摘要文本提取' note from c join tt t on c.run_id = t.run_id and c.url = t.token where not exists (select 1 from su where su.run_id = c.run_id and su.url = c.url)"
-)
+    _with(_SRC, _SEARCH, _EV, _ITEMS)
+    + ", su as (select distinct run_id, " + _STRIP.format("item->>'$.url'") + " url from it where coalesce(item->>'$.url', '') <> ''), "
+    + "tx as (select run_id, evidence_id, query, trim(unnest(regexp_extract_all(coalesce(item->>'$.text', case when json_type(item) = 'VARCHAR' then item->>'$' end), '" + evidence.TOKEN.replace("'", "''") + "')), '*') t from it where query is not null), "
+    + "tt as (select run_id, evidence_id, query, unnest(list_concat([t], list_transform(range(1, len(string_split(t, '#'))), lambda i: array_to_string(string_split(t, '#')[1:i], '#')))) token from tx), "
+    + "c as (select store_id, run_id, " + _STRIP.format("url") + " url from src where url is not null), f as (select store_id, run_id, url, unnest(" + _FORMS.format("url") + ") token from c), "
+    + "m as (select f.store_id, f.run_id, f.url, min_by(tt.query, (tt.evidence_id, tt.query)) query from f join tt on f.run_id = tt.run_id and f.token = tt.token where tt.token <> '' and not exists (select 1 from su where su.run_id = f.run_id and su.url = f.url) group by 1, 2, 3), "
+    + "lj as (select * from (select *, row_number() over (partition by run_id, query order by store_id desc) rn from sea) where rn = 1) "
+    + "select m.store_id, m.url, m.query, coalesce(lj.phase, '') phase, coalesce(lj.node, '') node, '摘要文本提取' note from m left join lj on m.run_id = lj.run_id and m.query = lj.query"
+)
 def lineage_text_fallback(spark, sf_dir):
-    """Entries whose address stands only in the text of results."""
-    e = _evidence(spark, sf_dir)
-    c = logs.sources(spark, sf_dir).where("url is not null").select("store_id", "run_id", urls.strip_anchors(F.col("url")).alias("url"))
-    direct = evidence.result_urls(e).select("run_id", urls.strip_anchors(F.col("url")).alias("url")).distinct()
-    held = evidence.tokens(e).withColumnRenamed("token", "url")
-    return c.join(direct, ["run_id", "url"], "left_anti").join(held, ["run_id", "url"], "left_semi").select("store_id", "url", F.lit("摘要文本提取").alias("note"))
+    """Entries whose address stands only in the text of results, with the journal's row of the query."""
+    s = logs.sources(spark, sf_dir)
+    return catalog.text_lineage(s, _evidence(spark, sf_dir), logs.searches(spark, sf_dir)).drop("run_id")
 
 
 @query(
