@@ -82,6 +82,17 @@ def collected_claims(journal: DataFrame, result_urls: DataFrame, catalog: DataFr
     return rows.groupBy("store_id").agg(F.count("_in").alias("_n")).where("_n = 0").select("store_id")
 
 
+def claims(journal: DataFrame, result_urls: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``store_id, garbage_claim, collected_claim`` of zero rows with results: both checks over one read of the results."""
+    zero = journal.where(F.coalesce("extracted", F.lit(0)) == 0)
+    known = catalog.where("url is not null").select("run_id", urls.host(F.col("url")).alias("host")).distinct().withColumn("_in", F.lit(True))
+    rows = zero.join(_result_hosts(result_urls), ["run_id", "query"]).join(known, ["run_id", "host"], "left")
+    counted = rows.groupBy("store_id").agg(F.max("zero_reason").alias("r"), F.count_if(vocab.is_garbage(F.col("host"))).alias("bad"), F.count("_in").alias("kept"))
+    garbage = F.contains("r", F.lit("垃圾域")) & (F.col("bad") == 0)
+    collected = (F.contains("r", F.lit("已收")) | F.contains("r", F.lit("重复"))) & (F.col("kept") == 0)
+    return counted.select("store_id", F.coalesce(garbage, F.lit(False)).alias("garbage_claim"), F.coalesce(collected, F.lit(False)).alias("collected_claim"))
+
+
 def single_documents(journal: DataFrame, result_urls: DataFrame) -> DataFrame:
     """Zero rows whose results hold the page of a single document."""
     pages = result_urls.where(F.col("url").rlike("|".join(vocab.SINGLE_DOCUMENT))).select("run_id", "query").distinct()

@@ -434,7 +434,8 @@ _STATS = (
 @query(_with(_SRC, _EV, _TOKENS, _HIT, _NODES, _LEAF) + ", " + _STATS)
 def stats_by_node(spark, sf_dir):
     """Grounded entries of every declared node by type, with a total for each run."""
-    rows = catalog.leaf_nodes(_grounded(spark, sf_dir).where("is_grounded"), logs.nodes(spark, sf_dir), "store_id")
+    # nodes first: an operator that reads its rows twice would read the evidence twice
+    rows = evidence.grounded(_located(spark, sf_dir), _evidence(spark, sf_dir), "store_id").where("is_grounded")
     return catalog.stats_by_node(rows, logs.nodes(spark, sf_dir))
 
 
@@ -569,11 +570,10 @@ def zero_split_samples(spark, sf_dir):
 )
 def zero_audit(spark, sf_dir):
     """Zero extractions of each run and the claims that evidence contradicts."""
-    j, items = _journal(spark, sf_dir), evidence.result_urls(_evidence(spark, sf_dir))
+    j = _journal(spark, sf_dir)
     z = j.where(vocab.phase_group(F.col("phase")).isin("增量", "扩量") & (F.coalesce("extracted", F.lit(0)) == 0)).select("run_id", "store_id")
-    g = gates.garbage_claims(j, items).select("store_id", F.lit(True).alias("g"))
-    c = gates.collected_claims(j, items, logs.catalog(spark, sf_dir)).select("store_id", F.lit(True).alias("c"))
-    return z.join(g, "store_id", "left").join(c, "store_id", "left").groupBy("run_id").agg(F.count("*").alias("total"), F.count("g").alias("garbage_claims"), F.count("c").alias("collected_claims"))
+    c = gates.claims(j, evidence.result_urls(_evidence(spark, sf_dir)), logs.catalog(spark, sf_dir))
+    return z.join(c, "store_id", "left").groupBy("run_id").agg(F.count("*").alias("total"), F.count_if("garbage_claim").alias("garbage_claims"), F.count_if("collected_claim").alias("collected_claims"))
 
 
 # order

@@ -5,7 +5,7 @@ File readers never fail on a bad line: it is kept and counted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.session import table
@@ -17,18 +17,46 @@ STORE_SCHEMA = (
 REJECT_SCHEMA = "ts string, code string, actor string, node string, name string, url string, detail map<string,string>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line`` of text files, numbered from 0 within each file.
+
+    Files are split like any others: lines are counted for each split, and a line's
+    number is the lines of the splits before it and its place in its own.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_i").alias("_first")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_i") - F.col("_first")).alias("line_no"), "line")
+
+
 def read_store_lines(spark: SparkSession, path: str) -> DataFrame:
     """A JSONL store with ``seq`` (line number) and ``bad_line`` for what cannot be read."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("line <> ''")
+    lines = numbered_lines(spark, path).where("trim(line) <> ''")
     row = F.from_json("line", STORE_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select("seq", row.alias("r")).select("seq", "r.*").withColumnRenamed("_bad", "bad_line")
+    return lines.select(F.col("line_no").alias("seq"), row.alias("r")).select("seq", "r.*").withColumnRenamed("_bad", "bad_line")
 
 
 def read_evidence_lines(spark: SparkSession, path: str) -> DataFrame:
     """Evidence lines as VARIANT; invalid UTF-8 and broken JSON leave ``doc`` null."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
     text = F.make_valid_utf8("line")
-    return lines.select("line_no", text.alias("line"), F.try_parse_json(text).alias("doc"))
+    return numbered_lines(spark, path).where("line <> ''").select("line_no", text.alias("line"), F.try_parse_json(text).alias("doc"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``session, line_no, line`` of transcript files, one session a file."""
+    return numbered_lines(spark, path).select(F.regexp_extract("file", r"([^/]*)\z", 1).alias("session"), "line_no", F.make_valid_utf8("line").alias("line"))
+
+
+def with_columns(df: DataFrame, **wanted: tuple[str, ...]) -> DataFrame:
+    """Each wanted column from the first of its names that ``df`` has, null if it has none: deliveries change their columns."""
+    return df.select(*[next((F.col(f"`{c}`") for c in names if c in df.columns), F.lit(None).cast("string")).alias(k) for k, names in wanted.items()])
+
+
+def first_file(spark: SparkSession, pattern: str) -> str | None:
+    """The first path in order that a glob pattern matches, on any file system Spark reads."""
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob)
+    return min((f.getPath().toString() for f in found or []), default=None)
 
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:

@@ -12,10 +12,14 @@ import json
 import os
 import re
 import shutil
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
+# columns of the deliverables (fixed values)
 CATALOG_HEADER = ["数据源名称", "分类路径", "数据源类型", "粒度", "访问地址", "简要说明", "来源搜索"]
 STATS_HEADER = ["分类节点", "候选数", "体裁分布"]
 JOURNAL_HEADER = ["阶段", "节点", "查询词", "返回链接数", "提取候选数", "证据缺失", "零提取理由"]
@@ -25,10 +29,13 @@ STATS_PLACEHOLDER = "（统计缺失）"
 
 def append_rows(df: DataFrame, path: str) -> int:
     """Append rows as JSON lines and return how many; an empty batch creates nothing."""
-    n = df.count()
-    if n:
-        df.write.mode("append").json(path)
-    return n
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    # an empty batch has nothing to write, and asking costs its first row only
+    if df.isEmpty():
+        return 0
+    rows.write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def write_csv(df: DataFrame, path: str, header: list[str], skip_empty: bool = False) -> int:
@@ -63,24 +70,58 @@ def write_attestation(values: dict, path: str) -> bool:
 
 
 def run_directory(root: str, domain: str, stamp: str) -> Path:
-    """A new ``{domain}_{stamp}`` directory, with ``_1``, ``_2`` on collision."""
+    """The name of a new ``{domain}_{stamp}`` directory, with ``_1``, ``_2`` on collision."""
     clean = re.sub(r'[\s/\\:*?"<>|]', "_", (domain or "").strip()) or "未命名领域"
     base = Path(root) / f"{clean}_{stamp}"
     path, k = base, 0
     while path.exists():
         k += 1
         path = base.with_name(f"{base.name}_{k}")
-    path.mkdir(parents=True)
     return path
 
 
-def archive(run_dir: Path, files: list[str]) -> None:
-    """Move working files into ``intermediate``; missing ones are skipped."""
+@contextmanager
+def delivery(path: Path) -> Iterator[Path]:
+    """A directory to write into that becomes ``path`` in one step when all is written, and vanishes on a failure."""
+    part = path.with_name(f".{path.name}.part")
+    shutil.rmtree(part, ignore_errors=True)
+    (part / "intermediate").mkdir(parents=True)
+    try:
+        yield part
+        os.rename(part, path)
+    finally:
+        shutil.rmtree(part, ignore_errors=True)
+
+
+def archive(run_dir: Path, files: dict[str, str] | list[str]) -> None:
+    """Move working files into ``intermediate``, under new names if given; missing ones are skipped."""
     inner = Path(run_dir) / "intermediate"
-    inner.mkdir(exist_ok=True)
-    for f in files:
+    inner.mkdir(parents=True, exist_ok=True)
+    for f, name in (files if isinstance(files, dict) else {f: Path(f).name for f in files}).items():
         if Path(f).exists():
-            shutil.move(f, inner / Path(f).name)
+            shutil.move(f, inner / name)
+
+
+def append_event(path: Path, code: str, actor: str, now: str, detail: dict) -> None:
+    """One line to a run's reject events; a failure to write it does not hide what it tells of."""
+    try:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"ts": now, "code": code, "actor": actor, "detail": {k: str(v) for k, v in detail.items()}}, ensure_ascii=False) + "\n")
+    except OSError:
+        pass
+
+
+def rename_report(folder: Path, stats: list[tuple[str, int, str]] | None) -> Path | None:
+    """The report of a delivery under the delivery's name, with its statistics; None if there is no report."""
+    found = sorted(Path(folder).glob("*.md"))
+    if not found:
+        return None
+    to = Path(folder) / f"{Path(folder).name}_报告.md"
+    to.with_suffix(".part").write_text(inject_stats(found[0].read_text(encoding="utf-8"), stats), encoding="utf-8")
+    os.replace(to.with_suffix(".part"), to)
+    if found[0] != to:
+        found[0].unlink()
+    return to
 
 
 def inject_stats(report: str, stats: list[tuple[str, int, str]] | None) -> str:

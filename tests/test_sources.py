@@ -18,6 +18,23 @@ def test_store_and_evidence_lines(spark, tmp_path):
     assert [d["doc"] is None for d in docs] == [False, True]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"s{k}.jsonl").write_text("".join(f"{k}-{i} {'x' * (i % 50)}\n" for i in range(3000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = logs.read_transcripts(spark, str(tmp_path / "*.jsonl"))
+        assert rows.rdd.getNumPartitions() > 4
+        got = {(r["session"], r["line_no"], r["line"].split()[0]) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(f"s{k}.jsonl", i, f"{k}-{i}") for k in range(2) for i in range(3000)}
+    assert logs.first_file(spark, str(tmp_path / "s*.jsonl")).endswith("s0.jsonl") and logs.first_file(spark, str(tmp_path / "z*")) is None
+    old = spark.createDataFrame([("a", "b")], "`名称` string, `地址` string")
+    assert logs.with_columns(old, name=("数据源名称", "名称"), level=("粒度",)).collect() == [("a", None)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'say "x"', "line\nbreak"), (None, "", "z")], "a string, b string, c string")
     path = str(tmp_path / "t.csv")
@@ -41,9 +58,22 @@ def test_append_and_rejects(spark, tmp_path):
 
 def test_run_directory_and_report(tmp_path):
     a = sinks.run_directory(str(tmp_path), "算 力", "2026-08-13-183045")
+    a.mkdir()
     b = sinks.run_directory(str(tmp_path), "算 力", "2026-08-13-183045")
+    a.rmdir()
     assert a.name == "算_力_2026-08-13-183045" and b.name == a.name + "_1"
     (tmp_path / "f.json").write_text("{}")
+    for d in (a, b):
+        assert not d.exists()
+    with sinks.delivery(a) as part:
+        (part / "x").write_text("1")
+        assert not a.exists()
+    assert (a / "x").exists() and [p.name for p in tmp_path.iterdir()] == [a.name]
+    try:
+        with sinks.delivery(tmp_path / "c"):
+            raise ValueError
+    except ValueError:
+        assert [p.name for p in tmp_path.iterdir()] == [a.name]
     sinks.archive(a, [str(tmp_path / "f.json"), str(tmp_path / "missing")])
     assert (a / "intermediate" / "f.json").exists()
     once = sinks.inject_stats("# T\n\ntext\n", [("N", 2, "文档:2")])
