@@ -10,7 +10,7 @@ from auditloom.functions import urls, vocab
 
 def funnel(journal: DataFrame) -> DataFrame:
     zero = F.count_if(F.coalesce("extracted", F.lit(0)) == 0)
-    return journal.groupBy("run_id", "phase").agg(F.count("*").alias("n"), F.coalesce(F.sum("extracted"), F.lit(0)).alias("extracted"), zero.alias("n_zero"), F.floor(zero * 100 / F.count("*")).alias("zero_percent"))
+    return journal.groupBy("run_id", "phase").agg(F.count("*").alias("n"), F.coalesce(F.sum("extracted"), F.lit(0)).alias("extracted"), zero.alias("n_zero"), F.floor(zero * 100 / F.count("*")).alias("zero_percent"), F.floor(F.coalesce(F.sum("extracted"), F.lit(0)) * 100 / F.count("*")).alias("extracted_per_100"))
 
 
 def site_entries(catalog: DataFrame, site_type: str) -> DataFrame:
@@ -33,7 +33,7 @@ def history(manifest: DataFrame, catalog: DataFrame, journal: DataFrame, last: i
     own = Window.partitionBy("domain_id")
     rows = manifest.select("domain_id", "run_id").join(c, "run_id").join(s, "run_id", "left")
     rows = rows.withColumns({"_rn": F.row_number().over(own.orderBy(F.desc("run_id"))), "_k": F.count("*").over(own)}).where((F.col("_rn") <= last) & (F.col("_k") >= 2))
-    return rows.select("domain_id", "run_id", "delivered", "other", F.floor(F.col("other") * 100 / F.greatest(F.lit(1), "delivered")).alias("other_percent"), F.coalesce("searches", F.lit(0)).alias("searches"))
+    return rows.select("domain_id", "run_id", "delivered", "other", F.floor(F.col("other") * 100 / F.greatest(F.lit(1), "delivered")).alias("other_percent"), F.coalesce("searches", F.lit(0)).alias("searches"), F.floor(F.col("delivered") * 100 / F.greatest(F.lit(1), "searches")).alias("per_100_searches"))
 
 
 def zero_classes(journal: DataFrame, lineage: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -55,51 +55,62 @@ def zero_classes(journal: DataFrame, lineage: DataFrame, catalog: DataFrame) ->
 
 
 def transcript_blocks(lines: DataFrame) -> DataFrame:
-    """One row for each content block of a transcript; unreadable lines are left out.
+    """One row for each content block of the transcripts ``session, line_no, line``; unreadable lines are left out.
 
-    ``line_no, pos, role, ts, model, kind, id, tool, text, command, chars``
+    ``session, line_no, pos, role, ts, model, kind, id, tool, text, command, args, chars``
     """
     doc = lines.where(F.contains("line", F.lit("{"))).withColumn("d", F.try_parse_json("line")).where("d is not null")
     get = lambda c, p, t="string": F.try_variant_get(c, p, t)
-    rows = doc.select("line_no", get("d", "$.type").alias("role"), F.substring(get("d", "$.timestamp"), 12, 8).alias("ts"), get("d", "$.message.model").alias("model"), F.posexplode_outer(get("d", "$.message.content", "array<variant>")).alias("pos", "b"))
+    rows = doc.select("session", "line_no", get("d", "$.type").alias("role"), F.substring(get("d", "$.timestamp"), 12, 8).alias("ts"), get("d", "$.message.model").alias("model"), F.posexplode_outer(get("d", "$.message.content", "array<variant>")).alias("pos", "b"))
     parts = F.try_variant_get("b", "$.content", "array<variant>")
     listed = F.aggregate(F.transform(parts, lambda x: F.length(F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit("")))), F.lit(0), lambda a, x: a + x)
     return rows.select(
-        "line_no", "pos", "role", "ts", "model", get("b", "$.type").alias("kind"), F.coalesce(get("b", "$.id"), get("b", "$.tool_use_id")).alias("id"), get("b", "$.name").alias("tool"),
-        F.coalesce(get("b", "$.thinking"), F.lit("")).alias("text"), get("b", "$.input.command").alias("command"),
+        "session", "line_no", "pos", "role", "ts", "model", get("b", "$.type").alias("kind"), F.coalesce(get("b", "$.id"), get("b", "$.tool_use_id")).alias("id"), get("b", "$.name").alias("tool"),
+        F.coalesce(get("b", "$.thinking"), F.lit("")).alias("text"), get("b", "$.input.command").alias("command"), F.length(F.to_json(get("b", "$.input", "variant"))).cast("bigint").alias("args"),
         F.when(parts.isNotNull(), listed).otherwise(F.length(F.coalesce(get("b", "$.content"), F.lit("")))).cast("bigint").alias("chars"),
     )
 
 
 def tool_pairs(blocks: DataFrame) -> DataFrame:
-    """``id, tool, chars``: results with the latest call before them; each call answers once."""
-    calls = blocks.where("kind = 'tool_use'").select("id", "tool", F.struct("line_no", "pos").alias("_c"))
-    results = blocks.where("kind = 'tool_result'").select("id", "chars", F.struct("line_no", "pos").alias("_r"))
-    met = calls.join(results, "id").where("_c < _r").groupBy("id", "_r").agg(F.max(F.struct("_c", "tool")).alias("_m"), F.first("chars").alias("chars"))
-    return met.groupBy("id", "_m").agg(F.min(F.struct("_r", "chars")).getField("chars").alias("chars")).select("id", "_m.tool", "chars")
+    """``session, id, tool, chars``: results with the latest call before them; each call answers once."""
+    calls = blocks.where("kind = 'tool_use'").select("session", "id", "tool", F.struct("line_no", "pos").alias("_c"))
+    results = blocks.where("kind = 'tool_result'").select("session", "id", "chars", F.struct("line_no", "pos").alias("_r"))
+    met = calls.join(results, ["session", "id"]).where("_c < _r").groupBy("session", "id", "_r").agg(F.max(F.struct("_c", "tool")).alias("_m"), F.first("chars").alias("chars"))
+    return met.groupBy("session", "id", "_m").agg(F.min(F.struct("_r", "chars")).getField("chars").alias("chars")).select("session", "id", "_m.tool", "chars")
 
 
 def thinking_per_search(blocks: DataFrame) -> DataFrame:
-    """Gaps and islands: what was thought since the search before belongs to the next one."""
+    """Gaps and islands within each session: what was thought since the search before belongs to the next one."""
     is_search = ((F.col("kind") == "tool_use") & (F.col("tool") == "WebSearch")).cast("int")
-    w = Window.orderBy("line_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    own = blocks.where("role = 'assistant'").withColumn("search_no", F.coalesce(F.sum(is_search).over(w), F.lit(0)) + 1)
-    return own.groupBy("search_no").agg(F.sum(F.length("text")).alias("chars"), F.max(is_search).alias("_s")).where("_s = 1").select("search_no", "chars")
+    w = Window.partitionBy("session").orderBy("line_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    # only what counts is sorted, and of it only the lengths
+    own = blocks.where("role = 'assistant' and kind in ('thinking', 'tool_use')").select("session", "line_no", "pos", F.length("text").alias("n"), is_search.alias("s"))
+    own = own.withColumn("search_no", F.coalesce(F.sum("s").over(w), F.lit(0)) + 1)
+    return own.groupBy("session", "search_no").agg(F.sum("n").alias("chars"), F.max("s").alias("_s")).where("_s = 1").select("session", "search_no", "chars")
 
 
 def anomalies(blocks: DataFrame, most: int = 20) -> DataFrame:
-    """The first calls of development tools that a run may not make."""
+    """The first calls of each session of development tools that a run may not make."""
     bad = (F.col("kind") == "tool_use") & F.col("tool").isin("Bash", "Edit", "Grep", "Glob") & ~F.coalesce("command", F.lit("")).rlike(vocab.LEGAL_COMMAND)
-    return blocks.where(bad).orderBy("line_no", "pos").limit(most).select("line_no", "tool", "command")
+    w = Window.partitionBy("session").orderBy("line_no", "pos")
+    return blocks.where(bad).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("session", "line_no", "ts", "tool", "command", "args")
 
 
 def decisions(blocks: DataFrame, most: int = 200) -> DataFrame:
-    """Sentences of thinking that state a decision."""
-    s = blocks.where("kind = 'thinking'").select("line_no", "pos", F.posexplode(F.split("text", r"\n+")).alias("i", "sentence"))
-    return s.where(F.col("sentence").rlike(vocab.DECISION) & (F.length("sentence") > 20)).orderBy("line_no", "pos", "i").limit(most).select("line_no", "sentence")
+    """The first sentences of each session's thinking that state a decision."""
+    s = blocks.where("kind = 'thinking'").select("session", "line_no", "pos", F.posexplode(F.split("text", r"\n+")).alias("i", "sentence"))
+    w = Window.partitionBy("session").orderBy("line_no", "pos", "i")
+    return s.where(F.col("sentence").rlike(vocab.DECISION) & (F.length("sentence") > 20)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("session", "line_no", "sentence")
 
 
 def context_chars(blocks: DataFrame) -> DataFrame:
-    """Characters of thinking and of what tools returned."""
-    bucket = F.when(F.col("kind") == "thinking", "思考").when(F.col("kind") == "tool_result", "工具返回")
-    return blocks.withColumn("bucket", bucket).where("bucket is not null").groupBy("bucket").agg(F.sum(F.when(F.col("bucket") == "思考", F.length("text")).otherwise(F.col("chars"))).alias("chars"))
+    """Characters of thinking, of what tools returned and of each tool's arguments, with blocks, mean and longest."""
+    bucket = F.when(F.col("kind") == "thinking", "思考").when(F.col("kind") == "tool_result", "工具返回").when(F.col("kind") == "tool_use", F.concat(F.lit("参数:"), F.coalesce("tool", F.lit(""))))
+    size = F.when(F.col("kind") == "thinking", F.length("text")).when(F.col("kind") == "tool_use", F.coalesce("args", F.lit(2))).otherwise(F.col("chars"))
+    rows = blocks.select("session", bucket.alias("bucket"), size.cast("bigint").alias("n")).where("bucket is not null")
+    return rows.groupBy("session", "bucket").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("chars"), F.floor(F.avg("n")).alias("mean_chars"), F.max("n").alias("max_chars"))
+
+
+def models(blocks: DataFrame) -> DataFrame:
+    """Lines of each session by the model that wrote them."""
+    return blocks.where("model is not null").select("session", "line_no", "model").distinct().groupBy("session", "model").agg(F.count("*").alias("n"))

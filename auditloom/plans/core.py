@@ -490,14 +490,14 @@ def knowledge_recon(spark, sf_dir):
     return table(spark, sf_dir, "manifest").select("run_id").join(d, "run_id", "left").join(k, "run_id", "left").select("run_id", F.coalesce("d", F.lit(0)).alias("declared"), n.alias("recorded"), v.alias("verified"), (n - v).alias("unverified"))
 
 
-@query("select run_id, 阶段 phase, count(*) n, coalesce(sum(提取候选数), 0)::bigint extracted, count(*) filter (coalesce(提取候选数, 0) = 0) n_zero, count(*) filter (coalesce(提取候选数, 0) = 0) * 100 // count(*) zero_percent from search_log group by 1, 2")
+@query("select run_id, 阶段 phase, count(*) n, coalesce(sum(提取候选数), 0)::bigint extracted, count(*) filter (coalesce(提取候选数, 0) = 0) n_zero, count(*) filter (coalesce(提取候选数, 0) = 0) * 100 // count(*) zero_percent, (coalesce(sum(提取候选数), 0) * 100 // count(*))::bigint extracted_per_100 from search_log group by 1, 2")
 def funnel_by_phase(spark, sf_dir):
     return audit.funnel(logs.journal(spark, sf_dir))
 
 
-@query("select run_id, 节点 node, count(*) n from search_log where 阶段 = '增量发现' group by 1, 2")
+@query("select run_id, 节点 node, count(*) n, count(*) < 20 below_quota from search_log where 阶段 = '增量发现' group by 1, 2")
 def incremental_per_node(spark, sf_dir):
-    return logs.journal(spark, sf_dir).where(F.col("phase") == vocab.INCREMENTAL).groupBy("run_id", "node").agg(F.count("*").alias("n"))
+    return logs.journal(spark, sf_dir).where(F.col("phase") == vocab.INCREMENTAL).groupBy("run_id", "node").agg(F.count("*").alias("n"), (F.count("*") < vocab.MIN_INCREMENTAL).alias("below_quota"))
 
 
 @query("select 数据源类型 source_type, 粒度 granularity, (grouping(数据源类型) * 2 + grouping(粒度))::int level, count(*) n from source_catalog group by grouping sets ((数据源类型), (粒度))")
@@ -522,7 +522,7 @@ def attribution_gap(spark, sf_dir):
 @query(
     "with c as (select run_id, count(*) delivered, count(*) filter (数据源类型 = '其他') other from source_catalog group by 1), s as (select run_id, count(*) searches from search_log group by 1), "
     "a as (select m.domain_id, m.run_id, c.delivered, c.other, coalesce(s.searches, 0) searches, row_number() over (partition by m.domain_id order by m.run_id desc) rn, count(*) over (partition by m.domain_id) k from manifest m join c using (run_id) left join s using (run_id)) "
-    "select domain_id, run_id, delivered, other, other * 100 // greatest(1, delivered) other_percent, searches from a where rn <= 8 and k >= 2"
+    "select domain_id, run_id, delivered, other, other * 100 // greatest(1, delivered) other_percent, searches, delivered * 100 // greatest(1, searches) per_100_searches from a where rn <= 8 and k >= 2"
 )
 def history_runs(spark, sf_dir):
     """The last eight runs of each domain that has at least two."""
@@ -614,51 +614,74 @@ def delivered_names(spark, sf_dir):
     return a.unionByName(logs.catalog(spark, sf_dir).where("name is not null").select("run_id", "name")).distinct()
 
 
-# transcripts (no table holds any: a fixture stands for the file)
+# transcripts: the evidence log told as sessions, each call a line of the assistant and one of the user; fetches stand for shell calls
 
-_LINES = [
-    '{"type":"assistant","timestamp":"2026-08-13T18:30:45","message":{"model":"m-1","content":[{"type":"thinking","thinking":"这些结果都是重复的新闻页面，所以决定不收录任何一条，继续下一个节点。\\n短句"},{"type":"tool_use","id":"a","name":"WebSearch","input":{"query":"q1"}}]}}',
-    '{"type":"user","timestamp":"2026-08-13T18:30:50","message":{"content":[{"type":"tool_result","tool_use_id":"a","content":"0123456789"}]}}',
-    "broken line",
-    '{"type":"assistant","timestamp":"2026-08-13T18:31:00","message":{"model":"m-1","content":[{"type":"thinking","thinking":"abc"},{"type":"tool_use","id":"b","name":"Bash","input":{"command":"ls"}},{"type":"tool_use","id":"c","name":"Bash","input":{"command":"python postprocess.py --prepare x"}},{"type":"tool_use","id":"d","name":"WebSearch","input":{"query":"q2"}}]}}',
-    '{"type":"user","timestamp":"2026-08-13T18:31:10","message":{"content":[{"type":"tool_result","tool_use_id":"d","content":[{"type":"text","text":"01234"},{"type":"text","text":"5"}]}]}}',
-]
 
+def _transcript(spark, sf_dir):
+    e = table(spark, sf_dir, "evidence_log").where("tool_input is not null and not contains(tool_input, '\\u0000')").join(table(spark, sf_dir, "manifest").select("run_id", F.coalesce("model", F.lit("?")).alias("model")), "run_id")
+    tool = F.when(F.col("tool_name") == "WebFetch", "Bash").otherwise(F.col("tool_name"))
+    ask = F.struct(F.lit("assistant").alias("type"), F.struct("model", F.array(
+        F.struct(F.lit("thinking").alias("type"), F.col("tool_input").alias("thinking"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command:string>").alias("input")),
+        F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("thinking"), F.col("evidence_id").cast("string").alias("id"), tool.alias("name"), F.struct(F.col("run_id").alias("command")).alias("input")),
+    ).alias("content")).alias("message"))
+    back = F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.col("evidence_id").cast("string").alias("tool_use_id"), F.coalesce("tool_response", F.lit("")).alias("content"))).alias("content")).alias("message"))
+    at = F.col("evidence_id") * 2
+    lines = e.select(F.coalesce("session_id", F.lit("")).alias("session"), F.explode(F.array(F.struct(at.alias("line_no"), F.to_json(ask).alias("line")), F.struct((at + 1).alias("line_no"), F.to_json(back).alias("line")))).alias("_l"))
+    return audit.transcript_blocks(lines.select("session", "_l.line_no", "_l.line"))
 
-def _transcript(spark):
-    return audit.transcript_blocks(spark.createDataFrame(list(enumerate(_LINES)), "line_no int, line string"))
 
+_CALLS = "e as (select coalesce(session_id, '') as session, evidence_id, run_id, case when tool_name = 'WebFetch' then 'Bash' else tool_name end tool, tool_input thought, coalesce(tool_response, '') back, coalesce(m.model, '?') model from evidence_log join manifest m using (run_id) where tool_input is not null)"
 
-@query("select * from (values (0, 'm-1'), (3, 'm-1')) t(line_no, model)")
+
+@query(_with(_CALLS) + "select session, model, count(*) n from e group by 1, 2")
 def transcript_scan(spark, sf_dir):
-    return _transcript(spark).where("model is not null").select("line_no", "model").distinct()
+    """Lines of each session by model."""
+    return audit.models(_transcript(spark, sf_dir))
 
 
-@query("select * from (values ('a', 'WebSearch', 10::bigint), ('d', 'WebSearch', 6::bigint)) t(id, tool, chars)")
+@query(_with(_CALLS) + "select session, evidence_id::varchar id, tool, length(back) chars from e")
 def tool_pairs(spark, sf_dir):
     """Each tool result with the call it answers."""
-    return audit.tool_pairs(_transcript(spark))
+    return audit.tool_pairs(_transcript(spark, sf_dir))
 
 
-@query("select * from (values (1::bigint, 37::bigint), (2::bigint, 3::bigint)) t(search_no, chars)")
+@query(
+    _with(_CALLS)
+    + "select session, search_no, sum(length(thought))::bigint chars from (select session, thought, tool, coalesce(sum((tool = 'WebSearch')::int) over (partition by session order by evidence_id rows between unbounded preceding and 1 preceding), 0)::bigint + 1 search_no from e) group by 1, 2 having max(tool) = 'WebSearch'"
+)
 def thinking_per_search(spark, sf_dir):
     """Characters thought since the search before, for each search."""
-    return audit.thinking_per_search(_transcript(spark))
+    return audit.thinking_per_search(_transcript(spark, sf_dir))
 
 
-@query("select 3 line_no, 'Bash' tool, 'ls' command")
+@query(_with(_CALLS) + "select session, evidence_id * 2 line_no, null::varchar ts, tool, run_id command, length('{\"command\":\"' || run_id || '\"}') args from (select *, row_number() over (partition by session order by evidence_id) rn from e where tool = 'Bash') where rn <= 20")
 def anomaly_calls(spark, sf_dir):
-    return audit.anomalies(_transcript(spark))
+    return audit.anomalies(_transcript(spark, sf_dir))
 
 
-@query("select 0 line_no, '这些结果都是重复的新闻页面，所以决定不收录任何一条，继续下一个节点。' sentence")
+@query(
+    _with(_CALLS)
+    + "select session, line_no, sentence from (select *, row_number() over (partition by session order by line_no, i) rn from (select session, evidence_id * 2 line_no, unnest(regexp_split_to_array(thought, '\\n+')) sentence, generate_subscripts(regexp_split_to_array(thought, '\\n+'), 1) i from e) where regexp_matches(sentence, '"
+    + vocab.DECISION + "') and length(sentence) > 20) where rn <= 200"
+)
 def decision_sentences(spark, sf_dir):
-    return audit.decisions(_transcript(spark))
+    return audit.decisions(_transcript(spark, sf_dir))
 
 
-@query("select * from (values ('思考', 40::bigint), ('工具返回', 16::bigint)) t(bucket, chars)")
+@query(
+    _with(_CALLS)
+    + "select session, bucket, count(*) n_blocks, sum(n)::bigint chars, floor(avg(n))::bigint mean_chars, max(n) max_chars from (select session, '思考' bucket, length(thought) n from e union all select session, '工具返回', length(back) from e union all select session, '参数:' || tool, length('{\"command\":\"' || run_id || '\"}') from e) group by 1, 2"
+)
 def context_chars(spark, sf_dir):
-    return audit.context_chars(_transcript(spark))
+    """What fills each session's context."""
+    return audit.context_chars(_transcript(spark, sf_dir))
+
+
+@query("select run_id, name from (select distinct run_id, name from store where type = 'source' and name is not null) intersect select run_id, 数据源名称 from source_catalog where 数据源名称 is not null")
+def stored_and_delivered_names(spark, sf_dir):
+    """Set operation: names that a run both stored and delivered."""
+    a = logs.sources(spark, sf_dir).where("name is not null").select("run_id", "name")
+    return a.intersect(logs.catalog(spark, sf_dir).where("name is not null").select("run_id", "name"))
 
 
 @query("select file_kind, count(*) n_lines, count(*) filter (not coalesce(json_valid(record), false)) n_bad from run_file_rows group by 1")
@@ -698,7 +721,7 @@ def coverage_details(spark, sf_dir):
     return rows.select("run_id", "node", F.coalesce("types", F.lit("")).alias("types"), F.coalesce("pending", F.lit("")).alias("pending"))
 
 
-@query()
+@query()  # the other engine's edit distance counts bytes
 def nearest_name(spark, sf_dir):
     """For each recorded name that the manifest lacks, the declared name nearest to it.
 

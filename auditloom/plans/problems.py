@@ -61,3 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_report": p3_report,
         **{f"p3_{name.rpartition('.')[2]}": _flat(name) for name in _TABLES},
     }
+

@@ -141,3 +141,23 @@ def test_keep_first_never_leaves_rows_undecided(spark):
     assert sorted(r["seq"] for r in catalog.keep_first(rows, "seq", ["run_id"]).collect()) == [0, 2, 4]
     with pytest.raises(ValueError):
         catalog.keep_first(rows, "seq", ["run_id"], max_rounds=1)
+
+
+def test_gates_of_a_run(spark):
+    """Each gate on rows that violate it and rows that do not."""
+    cols = "store_id bigint, run_id string, phase string, node string, query string, results int, extracted int, zero_reason string"
+    rows = [
+        (1, "r", "增量发现", "n", "q1", 5, 2, ""), (2, "r", "增量发现", "n", "q2", 5, 0, " "), (3, "r", "扩量", "n", "q3", 5, 0, "垃圾域"), (4, "r", "扩量", "n", "q4", 5, 0, "垃圾域"), (5, "r", "扩量", "n", "q5", 5, 0, "已收"), (6, "r", "扩量", "n", "q6", 5, 0, "重复"),
+        (7, "r", "验证", "n", "q7", 5, 0, ""), (8, "s", "增量发现", "n", "q8", 5, 3, ""), (9, "t", "验证", "n", "q9", 5, 3, ""), (10, "r", "扩量", "n", "none", 0, 0, "垃圾域"),
+    ]
+    journal = spark.createDataFrame(rows, cols)
+    urls = [("r", "q3", "https://books.google.com/x"), ("r", "q4", "https://a.com/x"), ("r", "q5", "https://a.com/y"), ("r", "q6", "https://z.com/y"), ("r", "q2", "https://patents.google.com/patent/US1")]
+    items = spark.createDataFrame([(1, *u) for u in urls], "evidence_id bigint, run_id string, query string, url string")
+    kept = spark.createDataFrame([("r", "https://a.com/doc")], "run_id string, url string")
+    ids = lambda df: {r["store_id"] for r in df.collect()}
+    assert {r["run_id"] for r in gates.sources_missing(journal, kept).collect()} == {"s"}
+    assert ids(gates.zero_without_reason(journal)) == {2}
+    assert ids(gates.garbage_claims(journal, items)) == {4} and ids(gates.collected_claims(journal, items, kept)) == {6}
+    both = {r["store_id"]: (r["garbage_claim"], r["collected_claim"]) for r in gates.claims(journal, items, kept).collect()}
+    assert both == {2: (False, False), 3: (False, False), 4: (True, False), 5: (False, False), 6: (False, True)}
+    assert ids(gates.single_documents(journal, items)) == {2}
