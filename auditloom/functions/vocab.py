@@ -85,8 +85,3 @@ def is_garbage(host: Column, hosts: list[str] = GARBAGE_HOSTS) -> Column:
 
 def yes_no(flag: Column) -> Column:
     return F.when(flag, "是").otherwise("否")
-
-
-def percent(part: Column, whole: Column) -> Column:
-    """Whole per cents, 0 of nothing."""
-    return (part * 100 / F.greatest(whole, F.lit(1))).cast("bigint")

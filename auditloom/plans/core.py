@@ -93,10 +93,10 @@ def evidence_slice(spark, sf_dir):
     return e.groupBy("run_id").agg(F.count_if(F.col("_in")).alias("kept"), F.count_if(F.col("_in").isNull()).alias("left_out"), F.count_if(F.col("query").isNull()).alias("without_query"))
 
 
-@query("select coalesce(source_type_raw, '') word, count(*) n from store where type = 'source' and source_type = '其他' group by 1")
+@query("select coalesce(source_type_raw, '') word, count(*) n from store where type in ('source', 'knowledge') and source_type = '其他' group by 1")
 def unmapped_types(spark, sf_dir):
-    """Raw words that fell to the rest type."""
-    return logs.sources(spark, sf_dir).where("source_type = '其他'").groupBy(F.coalesce("source_type_raw", F.lit("")).alias("word")).agg(F.count("*").alias("n"))
+    """Raw words of entries and knowledge that fell to the rest type."""
+    return table(spark, sf_dir, "store").where("type in ('source', 'knowledge') and source_type = '其他'").groupBy(F.coalesce("source_type_raw", F.lit("")).alias("word")).agg(F.count("*").alias("n"))
 
 
 # scalar functions over whole columns

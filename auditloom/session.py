@@ -34,10 +34,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where none is set (tests on one machine) a temporary one is used.
+    only where none is set and all runs on one machine (tests) a temporary one is used.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "auditloom-checkpoint"))
     return df.checkpoint()

@@ -19,8 +19,12 @@ def read_store_stream(spark: SparkSession, path: str, schema: str, files_per_tri
     return spark.readStream.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def new_entries(stream: DataFrame, time_col: str, delay: str = "10 days") -> DataFrame:
-    """Entries whose exact address of a run has not come within the watermark."""
+def new_entries(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
+    """Entries whose exact address of a run has not come within ``delay``.
+
+    The delay bounds the state, and so what a stream can tell: a repeat that comes
+    later passes, and is skipped where it is recorded, against the whole store.
+    """
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["run_id", "url"])
 
 

@@ -105,3 +105,14 @@ def test_stream_dedup(spark, sf, tmp_path):
     q.awaitTermination()
     want = spark.read.parquet(f"{sf}/store.parquet").where("url is not null").select("run_id", "url").distinct().count()
     assert spark.sql("select * from seen").count() == want
+
+
+def test_stream_windows(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [("2026-01-01T10:00:00", "a"), ("2026-01-01T20:00:00", "a"), ("2026-01-02T01:00:00", "b"), ("2026-01-09T00:00:00", "a")]
+    (src / "1.json").write_text("\n".join(json.dumps({"at": t, "type": k}) for t, k in rows))
+    stream = spark.readStream.schema("at timestamp, type string").json(str(src))
+    q = ingest.windowed_counts(stream, "at").writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["start"].day, r["type"], r["n"]) for r in spark.sql("select * from windows").collect()} == {(1, "a", 2), (2, "b", 1), (9, "a", 1)}
