@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import urls, vocab
 
+#: Declared names in one list, and recorded names that meet a list in one part of a run; neither leaves anything out.
+LISTED, ASKED = 500, 2_000
+
 
 def _blank(c: str):
     return F.trim(F.coalesce(c, F.lit(""))) == ""
@@ -116,25 +119,23 @@ def coverage(located: DataFrame, searches: DataFrame, nodes: DataFrame) -> DataF
 def nearest_declared(knowledge: DataFrame, declared: DataFrame) -> DataFrame:
     """``store_id, name, suggestion``: for recorded names that are not declared the nearest of their run by edit distance.
 
-    Ties go to the first in code point order.  Names that share a pair of characters
-    and the shortest name of the run give a bound; a name that shares no pair lies at
-    least half of its own and of the other's pairs away, so it is only compared where
-    its length leaves room under that bound.
+    Ties go to the first in code point order.  Every name is compared with all that its
+    run declares: the nearest is mostly far, so no shared part leaves much out.  The
+    comparisons are made inside a row, against lists of at most ``LISTED`` names, and no
+    pair becomes a row; a run with more than ``ASKED`` recorded names is spread over
+    tasks.  Joins are by sorting: the size of lists is not known from the files, and the
+    driver must not take them for small.
     """
     names = declared.where("name is not null").select("run_id", F.col("name").alias("suggestion")).distinct()
-    odd = knowledge.where("name is not null").join(names.withColumnRenamed("suggestion", "name"), ["run_id", "name"], "left_anti").select("store_id", "run_id", "name")
+    odd = knowledge.where("name is not null").select("store_id", "run_id", "name").join(names.withColumnRenamed("suggestion", "name").hint("merge"), ["run_id", "name"], "left_anti")
     asked = odd.select("run_id", "name").distinct()
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    keys = names.select("run_id", "suggestion", F.explode(pairs(F.col("suggestion"))).alias("k"))
-    near = F.struct(F.levenshtein("name", "suggestion").alias("d"), "suggestion")
-    met = asked.withColumn("k", F.explode(pairs(F.col("name")))).join(keys, ["run_id", "k"]).select("run_id", "name", "suggestion").distinct()
-    met = met.groupBy("run_id", "name").agg(F.min(near).alias("_b"))
-    short = names.groupBy("run_id").agg(F.min(F.struct(F.length("suggestion"), "suggestion")).getField("suggestion").alias("suggestion"))
-    first = asked.join(short, "run_id").select("run_id", "name", near.alias("_b"))
-    best = first.unionByName(met).groupBy("run_id", "name").agg(F.min("_b").alias("_b"))
-    # lengths that names without a shared pair can have at most at that distance
-    d, n = F.col("_b.d"), F.length("name")
-    room = best.where((n - 1) / 2 <= d).withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), n - d), F.least(n + d, 2 * d + 1))))
-    rest = room.join(names.withColumn("_n", F.length("suggestion")), ["run_id", "_n"]).groupBy("run_id", "name").agg(F.min(near).alias("_b"))
-    best = best.unionByName(rest).groupBy("run_id", "name").agg(F.min("_b").getField("suggestion").alias("suggestion"))
-    return odd.join(best, ["run_id", "name"], "left").select("store_id", "name", "suggestion")
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("suggestion"))
+    lists = names.withColumn("_l", F.floor((place - 1) / LISTED)).groupBy("run_id", "_l").agg(F.collect_list("suggestion").alias("_names")).drop("_l")
+    spread = asked.groupBy("run_id").agg(F.ceil(F.count("*") / ASKED).alias("_k"))
+    lists = lists.join(spread.hint("merge"), "run_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    # comparing costs far more than its input's size tells, so it gets as many tasks as shuffles have
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = asked.join(spread.hint("merge"), "run_id").withColumn("_part", F.pmod(F.xxhash64("name"), F.col("_k"))).repartition(tasks, "run_id", "_part")
+    near = F.array_min(F.transform("_names", lambda x: F.struct(F.levenshtein("name", x).alias("d"), x.alias("suggestion"))))
+    best = parts.join(lists.hint("merge"), ["run_id", "_part"]).select("run_id", "name", near.alias("_b")).groupBy("run_id", "name").agg(F.min("_b").getField("suggestion").alias("suggestion"))
+    return odd.join(best.hint("merge"), ["run_id", "name"], "left").select("store_id", "name", "suggestion")

@@ -723,8 +723,5 @@ def coverage_details(spark, sf_dir):
 
 @query()  # the other engine's edit distance counts bytes
 def nearest_name(spark, sf_dir):
-    """For each recorded name that the manifest lacks, the declared name nearest to it.
-
-    Names that share no pair of characters are compared only where they can be the nearest.
-    """
+    """For each recorded name that the manifest lacks, the declared name nearest to it."""
     return gates.nearest_declared(logs.knowledge(spark, sf_dir), logs.declared(spark, sf_dir))

@@ -134,6 +134,24 @@ def test_nearest_declared_like_brute_force(spark):
     assert {r["store_id"]: r["suggestion"] for r in got.collect()} == want and want[900] == "甲乙"
 
 
+def test_nearest_declared_in_parts(spark, monkeypatch):
+    told = [("r", f"名称{i:03}") for i in range(40)] + [("s", "x")]
+    rows = [(i, "r", f"名称{i:03}末") for i in range(40)] + [(50, "s", "y"), (51, "s", "y")]
+    monkeypatch.setattr(gates, "LISTED", 7)
+    monkeypatch.setattr(gates, "ASKED", 3)
+    got = gates.nearest_declared(spark.createDataFrame(rows, "store_id int, run_id string, name string"), spark.createDataFrame(told, "run_id string, name string"))
+    assert sorted((r["store_id"], r["suggestion"]) for r in got.collect()) == [(i, f"名称{i:03}") for i in range(40)] + [(50, "x"), (51, "x")]
+
+
+def test_nearest_declared_broadcasts_nothing(spark):
+    # the estimated size of names is that of the files, however many of them there are
+    name = [("r", "a")]
+    df = gates.nearest_declared(spark.createDataFrame([(1, "r", "b")], "store_id int, run_id string, name string"), spark.createDataFrame(name, "run_id string, name string"))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_first_never_leaves_rows_undecided(spark):
     # a row shares its name with the row before and its page with the row after, or the other way round
     chain = [(i, "r", f"n{i // 2}", f"https://a.com/{(i + 1) // 2}") for i in range(6)]
