@@ -107,6 +107,48 @@ def test_tables_have_the_columns_found(spark):
     assert nested.flat_tables(nested.shred(df.limit(0), "evidence_id", ["a"]), "evidence_id") == {}
 
 
+def test_records_are_read_as_a_stream(monkeypatch):
+    """Triples come from tokens: neither the record nor a part of it is built as an object or array."""
+
+    def scalar(text, at, scan=nested._DECODER.scan_once):
+        value, at = scan(text, at)
+        assert not isinstance(value, (dict, list))
+        return value, at
+
+    def refuse(*_):
+        raise AssertionError("the whole text is parsed")
+
+    for name in ("parse", "decoded", "_loads_deep"):
+        monkeypatch.setattr(nested, name, refuse)
+    monkeypatch.setattr(nested, "_SCALAR", scalar, raising=False)
+    text = json.dumps({"a": [{"b": 1}, json.dumps({"c": [2, "x"]}), "{no"], "d": {"e": None}})
+    want = [
+        ("c", "", "", False, None, None, 0), ("c\x1fa", "c.a[0]", "", True, None, None, 0), ("c\x1fa", "c.a[0]", "", True, "b", 1, 0), ("c\x1fa", "c.a[1]", "", True, None, None, 0),
+        ("c\x1fa", "c.a[1]", "", True, "c[]", 2, 0), ("c\x1fa", "c.a[1]", "", True, "c[]", "x", 1), ("c", "", "", False, "a[]", "{no", 2), ("c", "", "", False, "d.e", None, 0),
+    ]
+    assert list(nested.walk("c", text, set())) == want
+    assert list(nested.walk("c", text[:-1], set())) == [] and list(nested.walk("c", text + "]", set())) == []
+
+
+def test_odd_keys():
+    rows = lambda text, arrays=(): [r[1:] for r in nested.walk("c", text, set(arrays))][1:]
+    # of repeated keys the last counts, with all that it holds, at the place of the first
+    assert rows('{"a":[{"x":1}],"b":2,"a":"t"}') == [("", "", False, "b", 2, 1), ("", "", False, "a", "t", 0)]
+    assert rows('["[1,{\\"a\\":1,\\"a\\":2}",3]') == [("", "", False, "[]", '[1,{"a":1,"a":2}', 0), ("", "", False, "[]", 3, 1)]
+    # a key that ends like a position makes no listed object
+    assert rows('{"k]":{"x":1}}') == [("", "", False, "k].x", 1, 0)]
+    assert rows('{"k]":{"x":1}}', ["c\x1fk]"]) == [("c.k][0]", "", True, None, None, 0), ("c.k][0]", "", True, "x", 1, 0)]
+
+
+def test_report_counts_nodes(spark):
+    df = spark.createDataFrame([(7, '{"q":1,"list":["x",{"t":1,"tags":[1,2,3]},{"t":null},2]}'), (8, '{"list":[{}]}'), (9, "{")], "evidence_id bigint, a string")
+    triples = nested.shred(df, "evidence_id", ["a"])
+    got = {(r["table_name"], r["field"]): r["n"] for r in nested.table_report(triples).collect()}
+    assert got == {("a", ""): 2, ("a", "q"): 1, ("a", "list[]"): 1, ("a.list", ""): 3, ("a.list", "t"): 2, ("a.list", "tags[]"): 1}
+    rows = {t: [r.asDict() for r in flat.collect()] for t, flat in nested.flat_tables(triples, "evidence_id").items()}
+    assert got == {(t, ""): len(rs) for t, rs in rows.items()} | {(t, f): sum(r[f.removesuffix("[]")] not in (None, []) for r in rows[t]) for t, f in got if f}
+
+
 def test_alternatives_at_any_depth(spark):
     rows = files(spark, [{"a": {"b": [1, "x", {"c": None}]}, " k﻿": 1.5}], [{"a": "t"}])
     got = {(r["field"], r["tag"], r["first_file"], r["n_values"]) for r in drift.alternatives(rows, ["file_kind"], "file_id", "written_at").collect()}
